@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, line_dedup
+from . import chat, fingerprints, language_id, line_dedup, secrets
 
 QUERIES = {
+    "op4_language_id": language_id.op4_language_id,
     "op5_chat_format": chat.op5_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 ORACLES = {

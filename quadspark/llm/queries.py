@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, language_id, line_dedup, mixing, secrets
+from . import chat, fingerprints, language_id, line_dedup, mixing, secrets, token_store
 
 QUERIES = {
+    "op1_token_ids": token_store.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
     "op4_language_id": language_id.op4_language_id,
     "op5_chat_format": chat.op5_chat_format,

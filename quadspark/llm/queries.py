@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, language_id, line_dedup, mixing, secrets, token_store
+from . import chat, fingerprints, language_id, line_dedup, lm_scoring, mixing, secrets, token_store
 
 QUERIES = {
     "op1_token_ids": token_store.op1_token_ids,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
 ORACLES = {

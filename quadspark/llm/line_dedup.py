@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import SPACES, ascii_lower, table
+from .common import SPACES, ascii_lower, stored, table
 
 MIN_CHARS = 10
 FILTER_BITS = 1 << 26
@@ -122,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int =
             ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return pd.Series(ok)
 
-    suspects = lines.filter(suspected("_hash"))
+    suspects = stored(lines.filter(suspected("_hash")), "suspects")
     repeats = suspects.groupBy("_hash", "_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
     drops = suspects.join(repeats.drop("_last"), ["_hash", "_key"]).filter("_id > _first").groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
     lines_of = F.split("_text", "\n")

@@ -1,10 +1,8 @@
 """Line dedup: Bloom filters of once-seen and twice-seen line hashes; only suspected repeats shuffle.
 
-Each task sets the bits of its lines in a `once` filter; bits set again go to a `twice` filter. Filters merge bit by bit:
-twice = twice1 | twice2 | (once1 & once2), once = once1 | once2. So a line held by two tasks, or twice by one, has all its
-bits in the merged `twice` filter: there are no false negatives, and what passes the filter is confirmed by its whole key.
-The filters have a fixed size (`filter_bits`), which bounds the broadcast; a corpus that fills them sends more lines to the
-exact step and loses nothing.
+A line whose key's hash is not in the merged `twice` filter (see bloom) stands once; the others are suspects, written to the
+shared folder, confirmed by their whole keys and dropped in all documents but the first. A corpus that fills the filter sends
+more lines to that exact step and loses nothing.
 
 Nulls and ties: a null or empty text is one empty line. Rows of equal doc_id count as one document. A null doc_id counts as
 the largest id, so its lines go when any other document has them. Other columns of the input are ignored.
@@ -12,92 +10,16 @@ the largest id, so its lines go when any other document has them. Other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from .bloom import BITS, Filter
 from .common import SPACES, ascii_lower, stored, table
 
 MIN_CHARS = 10
-FILTER_BITS = 1 << 26
-SHARDS, PROBES = 64, 3
 _LAST = (1 << 63) - 1
 
 
-def _bits(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """The PROBES bit positions of each hash, by double hashing."""
-    h = h.view(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (h + np.uint64(i) * step) & np.uint64(bits - 1)
-
-
-def _packed(words: np.ndarray) -> bytes:
-    return pa.compress(words.tobytes(), codec="lz4", asbytes=True)
-
-
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="lz4", asbytes=True), np.uint64)
-
-
-def _task_filters(bits: int):
-    n = bits // 64 // SHARDS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = twice = None
-        for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False)
-            if not len(h):
-                continue
-            if once is None:
-                once, twice = np.zeros(bits // 64, np.uint64), np.zeros(bits // 64, np.uint64)
-            h, times = np.unique(h, return_counts=True)
-            new, again = np.zeros_like(once), h[times > 1]
-            for into, hashes in ((new, h), (twice, again)):
-                for at in _bits(hashes, bits):
-                    np.bitwise_or.at(into, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-            twice |= once & new
-            once |= new
-        if once is not None:
-            for s in range(SHARDS):
-                part = slice(s * n, s * n + n)
-                if once[part].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(once[part])], pa.binary()), pa.array([_packed(twice[part])], pa.binary())], ["shard", "once", "twice"])
-
-    return run
-
-
-def _merged(bits: int):
-    n = bits // 64 // SHARDS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for s, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = _unpacked(x, n), _unpacked(y, n)
-                once, twice = held.get(s, (np.zeros(n, np.uint64),) * 2)
-                held[s] = once | x, twice | y | (once & x)
-        for s, (_, twice) in held.items():
-            if twice.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(twice)], pa.binary())], ["shard", "twice"])
-
-    return run
-
-
-def twice_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The merged `twice` filter over a DataFrame of one long column; bits / 8 bytes at most reach the driver."""
-    parts = hashes.mapInArrow(_task_filters(bits), "shard int, once binary, twice binary").repartition(SHARDS, "shard")
-    out, n = np.zeros(bits // 64, np.uint64), bits // 64 // SHARDS
-    for r in parts.mapInArrow(_merged(bits), "shard int, twice binary").toLocalIterator():
-        out[r["shard"] * n : r["shard"] * n + n] = _unpacked(bytes(r["twice"]), n)
-    return out
-
-
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     key = ascii_lower(F.btrim(F.col("_line"), F.lit(SPACES)))
     return (
@@ -108,21 +30,12 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int = BITS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): each text without the lines whose key stands in a document of smaller id."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumns({"_id": F.coalesce("doc_id", F.lit(_LAST)), "_row": F.xxhash64("_text")})
     lines = _lines(docs, min_chars)
-    held = spark.sparkContext.broadcast(twice_filter(lines.select("_hash"), filter_bits))
-
-    @pandas_udf("boolean")
-    def suspected(h: pd.Series) -> pd.Series:
-        h, words, ok = h.to_numpy(np.int64), held.value, np.ones(len(h), bool)
-        for at in _bits(h, filter_bits):
-            ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return pd.Series(ok)
-
-    suspects = stored(lines.filter(suspected("_hash")), "suspects")
+    twice = Filter(lines.select("_hash"), "twice", filter_bits)
+    suspects = stored(lines.filter(twice.passes("_hash")), "suspects")
     repeats = suspects.groupBy("_hash", "_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
     drops = suspects.join(repeats.drop("_last"), ["_hash", "_key"]).filter("_id > _first").groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
     lines_of = F.split("_text", "\n")

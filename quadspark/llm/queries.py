@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, language_id, line_dedup, lm_scoring, mixing, secrets, token_store
+from . import chat, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dups, secrets, token_store
 
 QUERIES = {
     "op1_token_ids": token_store.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
+    "op3_near_dups": near_dups.op3_near_dups,
     "op4_language_id": language_id.op4_language_id,
     "op5_chat_format": chat.op5_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,

@@ -8,11 +8,12 @@ step; slot i of the signature is the least rank + fraction that any shingle give
 at once, and a document stops as soon as each of its slots is filled: a later step can only give larger values. BANDS bands
 of ROWS slots: two sets of similarity 0.8 share no band with probability (1 - 0.8^6)^48 = 5e-7.
 
-Pairs: in each bucket the members are compared with one of them, the hub; confirmed links are grouped; and only buckets that
-still hold several groups go on, with the members outside their largest group against all members of other groups, so no
-bucket's pairs are all emitted, and no candidate pair is left out that could join two groups. Similarity is counted on whole
-shingle sets made anew from the texts (64-bit hashes). Groups are found by union-find in each task and large-star, small-star
-rounds over what is left.
+Pairs: a bucket's member of least id is its hub, and every member is compared with its hubs; confirmed links are grouped; a hub
+whose buckets still hold several groups goes on, with the rows outside the largest group against all. Rows are compared in
+blocks of about BLOCK_ROWS rows of either side, inside one task, by products of incidence matrices; only links between different
+groups leave it, so no pairs are emitted, a hot group is spread over its blocks, and no candidate pair that could join two groups
+is left out. Similarity is counted on whole shingle sets made anew from the texts (64-bit hashes). Groups are found by union-find
+in each task and large-star, small-star rounds over what is left.
 
 Nulls and ties: null, empty and blank texts have empty sets, size 0, and are linked with nothing. Rows of equal doc_id are one
 document of the graph. A null doc_id counts as the largest id; its component_id is null if nothing else is in its group.
@@ -21,7 +22,6 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ from .common import in_chunks, mix64, stored, table, texts, word_hashes
 
 ROWS, BANDS = 6, 48
 PERCENT = 80
+BLOCK_ROWS, COLUMNS = 256, 8192
 _LAST = (1 << 63) - 1
 _M = np.uint64
 
@@ -173,47 +174,90 @@ def components(links: DataFrame) -> DataFrame:
 # --- verification ----------------------------------------------------------------------------------------------------
 
 
+def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """(a, b) booleans: 100 * intersection >= percent * union, from products of incidence matrices over shared hashes."""
+    n = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    if len(a) * len(b) <= 4:
+        both = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
+    else:
+        one, two = np.concatenate(a), np.concatenate(b)
+        shared = np.intersect1d(one, two)
+        both = np.zeros(n.shape, np.float64)
+        parts = []
+        for x, sets in ((one, a), (two, b)):
+            col = np.minimum(np.searchsorted(shared, x), max(0, len(shared) - 1))
+            row = np.repeat(np.arange(len(sets)), [len(y) for y in sets])
+            ok = shared[col] == x if len(shared) else np.zeros(len(x), bool)
+            order = np.argsort(col[ok], kind="stable")
+            parts.append((col[ok][order], row[ok][order]))
+        for at in range(0, len(shared), COLUMNS):
+            m = []
+            for (col, row), sets in zip(parts, (a, b), strict=True):
+                x, y = np.searchsorted(col, (at, at + COLUMNS))
+                m.append(np.zeros((len(sets), min(COLUMNS, len(shared) - at)), np.float32))
+                m[-1][row[x:y], col[x:y] - at] = 1
+            both += m[0] @ m[1].T
+    return (both > 0) & (100 * both >= percent * (n - both))
+
+
 def _checked(k: int, percent: int):
+    """Rows (h, i, j, side, id, th, g, text), those of a block together: links between its sides and different groups g,
+    one at most for each row of side 0 and each group of side 1."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        sides = [[r for r in rows if r[0] == s] for s in (0, 1)]
+        if not all(sides):
+            return
+        names = list({(r[1], r[2]): r[4] for r in rows}.items())
+        sets = {}
+        for x, y in in_chunks([t for _, t in names]):
+            sets |= dict(zip([n for n, _ in names[x:y]], shingles([t for _, t in names[x:y]], k), strict=True))
+        ok = _similar(*([sets[r[1], r[2]] for r in side] for side in sides), percent)
+        for x, row in zip(sides[0], ok, strict=True):
+            done = {x[3]}
+            for at in np.flatnonzero(row):
+                y = sides[1][at]
+                if y[3] not in done:
+                    done.add(y[3])
+                    yield x[1], y[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+        key, rows, found = None, [], []
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("a", "ath", "b", "bth")}
-            ta, tb = texts(b.column("ta")), texts(b.column("tb"))
-            new: dict[tuple[int, int], bytes] = {}
-            ka, kb = list(zip(c["a"], c["ath"], strict=True)), list(zip(c["b"], c["bth"], strict=True))
-            at = 0
-            while at < len(ta):  # a few MB of sets at once
-                to, size = at, 0
-                new.clear()
-                while to < len(ta) and size < 1 << 21:
-                    for key, t in ((ka[to], ta[to]), (kb[to], tb[to])):
-                        if key not in held and key not in new:
-                            new[key] = t
-                            size += len(t)
-                    to += 1
-                names, values = list(new), list(new.values())
-                for x, y in in_chunks(values):
-                    for name, s in zip(names[x:y], shingles(values[x:y], k), strict=True):
-                        held[name] = s
-                ok = np.zeros(to - at, bool)
-                for i in range(at, to):
-                    p, q = held[ka[i]], held[kb[i]]
-                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                        both = len(np.intersect1d(p, q, assume_unique=True))
-                        ok[i - at] = both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c["a"][at:to], np.int64)[ok]), pa.array(np.array(c["b"][at:to], np.int64)[ok])], ["u", "v"])
-                while len(held) > 512:
-                    held.popitem(last=False)
-                at = to
+            keys = list(zip(*(b.column(n).to_pylist() for n in ("h", "i", "j")), strict=True))
+            values = zip(*(b.column(n).to_pylist() for n in ("side", "id", "th", "g")), texts(b.column("text")), strict=True)
+            for x, row in zip(keys, values, strict=True):
+                if x != key:
+                    found += links(rows)
+                    key, rows = x, []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
+            found = []
+        found += links(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
 
     return run
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (u, v) among pairs (a, ath, b, bth); bodies: (id, th, text)."""
-    left = pairs.join(bodies.select(F.col("id").alias("a"), F.col("th").alias("ath"), F.col("text").alias("ta")), ["a", "ath"])
-    both = left.join(bodies.select(F.col("id").alias("b"), F.col("th").alias("bth"), F.col("text").alias("tb")), ["b", "bth"])
-    return both.select("a", "ath", "b", "bth", "ta", "tb").mapInArrow(_checked(k, percent), "u long, v long")
+def verified(blocks: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (u, v) of blocks (h, i, j, side, id, th, g); bodies: (id, th, text)."""
+    rows = blocks.join(bodies, ["id", "th"]).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side")
+    return rows.select("h", "i", "j", "side", "id", "th", "g", "text").mapInArrow(_checked(k, percent), "u long, v long")
+
+
+def _block(many):
+    """The block of a row among `many`, and how many there are."""
+    blocks = F.ceil(many / BLOCK_ROWS)
+    return F.pmod(F.xxhash64("id", "th"), blocks).cast("int"), (blocks - 1).cast("int")
+
+
+def _blocks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every block of a with every block of b of the same h; both (h, id, th, g, na, nb), the sizes of a's and b's sides."""
+    (ai, a_last), (bj, b_last) = _block(F.col("na")), _block(F.col("nb"))
+    zero = F.lit(0)
+    left = a.select("h", ai.alias("i"), F.explode(F.sequence(zero, b_last)).alias("j"), zero.alias("side"), "id", "th", "g")
+    right = b.select("h", F.explode(F.sequence(zero, a_last)).alias("i"), bj.alias("j"), F.lit(1).alias("side"), "id", "th", "g")
+    return left.unionByName(right)
 
 
 def near_dups(docs: DataFrame, k: int, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -231,21 +275,19 @@ def near_dups(docs: DataFrame, k: int, percent: int = PERCENT, rows: int = ROWS,
     bodies = docs.filter(wanted.passes(F.xxhash64("id", "th"))).join(nodes, ["id", "th"]).dropDuplicates(["id", "th"])
     bodies = stored(bodies.select("id", "th", "text"), "bodies")
 
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes too unlike for a link otherwise
-    one = members.select("bucket", F.col("id").alias("a"), F.col("th").alias("ath"), F.col("n").alias("an"), "hub").filter("a = hub")
-    first = members.filter("id <> hub").join(one.drop("hub"), "bucket").filter(near(F.col("n"), F.col("an"))).select("a", "ath", F.col("id").alias("b"), F.col("th").alias("bth")).distinct()
+    hubs = stored(members.select(F.col("hub").alias("h"), "id", "th").distinct(), "hubs")
+    many = hubs.groupBy("h").agg(F.count("*").alias("n"))
+    alone = hubs.join(many, "h").withColumn("g", F.col("id"))
+    first = _blocks(alone.filter("id = h").withColumns({"na": F.lit(1), "nb": F.col("n")}), alone.filter("id <> h").withColumns({"na": F.lit(1), "nb": F.col("n")}))
     links = stored(verified(first, bodies, k, percent), "links")
     groups = components(links)
 
-    # buckets that still hold several groups
-    named = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("root", "id")).drop("root")
-    sizes = named.groupBy("bucket", "g").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("gs"), F.max(F.struct("c", "g")).alias("most")).filter("gs > 1").select("bucket", F.col("most.g").alias("major"))
-    left = stored(named.join(mixed, "bucket"), "mixed")
-    small = left.filter("g <> major").select("bucket", F.col("id").alias("a"), F.col("th").alias("ath"), F.col("n").alias("an"), F.col("g").alias("ag"), F.col("major").alias("am"))
-    pair = left.join(small, "bucket").filter((F.col("g") != F.col("ag")) & ((F.col("g") == F.col("am")) | (F.col("id") < F.col("a"))) & near(F.col("n"), F.col("an")))
-    rest = pair.select("a", "ath", F.col("id").alias("b"), F.col("th").alias("bth")).distinct()
-    rest = rest.join(first.select("a", "ath", "b", "bth"), ["a", "ath", "b", "bth"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("ath").alias("bth"), F.col("b").alias("a"), F.col("bth").alias("ath")), ["a", "ath", "b", "bth"], "left_anti")
+    # hubs whose buckets still hold several groups: the rows outside the largest one against all
+    named = hubs.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("root", "id")).drop("root")
+    sizes = named.groupBy("h", "g").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("h").agg(F.count("*").alias("gs"), F.max(F.struct("c", "g")).alias("most"), F.sum("c").alias("nb")).filter("gs > 1")
+    left = stored(named.join(mixed.select("h", F.col("most.g").alias("major"), (F.col("nb") - F.col("most.c")).alias("na"), "nb"), "h"), "mixed")
+    rest = _blocks(left.filter("g <> major"), left)
     more = stored(verified(rest, bodies, k, percent), "links")
     if more.limit(1).count():
         groups = components(links.unionByName(more))

@@ -37,6 +37,7 @@ WEIGHTS, MOST, BLOCK, SHARDS, GROUPS, SEED = (5, 2, 1), 3, 64, 256, 256, 20240
 
 WORD = r"[^\x20\x09-\x0D]+"
 _STEP = 4096
+_LAST = (1 << 63) - 1
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -121,9 +122,10 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> Mix:
-    """The mix of docs (doc_id, source, size, ...); columns beyond doc_id, source and size are ignored."""
+    """The mix of docs (doc_id, source, size, ...); of other columns only th, a text's hash, is kept."""
     spark = docs.sparkSession
-    docs = stored(placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size")), "placed")
+    extra = ["th"] if "th" in docs.columns else []
+    docs = stored(placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size", *extra)), "placed")
     found = docs.groupBy("source").agg(F.sum("size").alias("n")).collect()
     names = sorted((r["source"] for r in found), key=lambda s: (s is None, s or ""))
     words = {r["source"]: r["n"] for r in found}
@@ -170,19 +172,16 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The columns of docs, a row for each document and pass that took words of it, with the taken words as its text.
 
     The text of a run of words goes from its first word to the end of its last one as it stands; runs are joined by a line
-    feed; a document taken whole keeps its whole text. A column n_chars, if there is one, is the new text's length.
+    feed; a document taken whole keeps its whole text. A column n_chars, if there is one, is the new text's length. Rows that agree
+    in doc_id and text are told apart by the mix only: each of their passes gives a row with the columns of one of them.
     """
     names = docs.columns
-    docs = docs.withColumns({"_size": words_in("text"), "_text_hash": F.xxhash64("text")})
-    m = mix(docs.select("doc_id", "source", F.col("_size").alias("size")), **how)
+    rows = docs.withColumns({"_size": words_in("text"), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_th": F.xxhash64("text")})
+    m = mix(rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_th").alias("th")), **how)
     runs = m.pieces.groupBy("src", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_runs"))
-    # equal (doc_id, source, size) rows are told apart by their rank
-    rank = lambda *by: F.row_number().over(Window.partitionBy("_id", "_source", "size").orderBy(*by))
-    order = m.docs.filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "src", "start").withColumn("_rank", rank("start"))
-    keyed = docs.filter("_size > 0").withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "size": F.col("_size")}).withColumn("_rank", rank("_text_hash"))
-    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in ("_id", "_source", "size", "_rank")]
-    runs = runs.select("src", "start", "pass", "_runs").join(order, ["src", "start"])
-    cut = keyed.join(runs, same(keyed, runs)).select(*(keyed[c] for c in names), keyed["_size"], runs["pass"], runs["_runs"])
+    of = m.docs.filter("size > 0").select("src", "start", F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("th").alias("_th"))
+    runs = runs.join(of, ["src", "start"]).select("_id", "_th", "pass", "_runs")
+    cut = rows.filter("_size > 0").dropDuplicates(["_id", "_th"]).join(runs, ["_id", "_th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,7 +203,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
                 new["n_chars"] = pa.array(list(map(len, out)), pa.int64())
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in names], names)
 
-    return cut.mapInArrow(run, docs.select(*(F.col(n) if n != "n_chars" else F.col(n).cast("long") for n in names)).schema)
+    return cut.select(*(F.col(f"`{n}`") for n in names), "_size", "_runs").mapInArrow(run, docs.select(*(F.col(n) if n != "n_chars" else F.col(n).cast("long") for n in names)).schema)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

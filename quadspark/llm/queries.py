@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dups, secrets, token_store
+from . import chat, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dups, secrets, token_store
 
 QUERIES = {
     "op1_token_ids": token_store.op1_token_ids,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dups": near_dups.op3_near_dups,
     "op4_language_id": language_id.op4_language_id,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,

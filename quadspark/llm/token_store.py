@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import struct
 import uuid
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,16 +55,19 @@ class WordEncoder(dict):
 
     MARKS = bytes(range(0xCC, 0x100))
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.most, self.old = most, {}
         one = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         self.lowers = one("QUOTE Zed") == one("quote zed")
         self.cuts = all(one(f"ab{c}cd") == one("ab") + one("cd") for c in " \t\n\r\x0b\x0c")
         self.stops = all(one("ab" + c) == one("ab") + one(c) for c in ".,")
+        model, some = self.tokenizer.model, ["a", "quote", "zyxwv", "ofthe", "entionthere", "s", "llve", "q" * 40, *("".join(map(chr, range(97 + i, 123))) for i in range(26))]
+        self.direct = model.tokenize if all([t.id for t in model.tokenize(w)] == one(w) for w in some) else None
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
@@ -70,14 +75,22 @@ class WordEncoder(dict):
             s = piece.decode("utf-8", "replace")
             if self.stops and len(s) > 1 and s[-1] in ".," and s[-2].isalpha() and s[-2] < "̀":
                 ids = self[piece[:-1]] + self[piece[-1:]]
+            elif self.direct and piece.isalpha() and piece.islower():  # ASCII letters: one piece for the model as it stands
+                ids = self._packed([t.id for t in self.direct(s)])
             else:
-                ids = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, self.dtype).tobytes()
+                ids = self._packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
+    def _packed(self, ids: list[int]) -> bytes:
+        a = array(self.code, ids)
+        if sys.byteorder != "little":
+            a.byteswap()
+        return a.tobytes()
+
     def encode(self, text: bytes) -> bytes:
         if not self.cuts:
             return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()

@@ -8,7 +8,7 @@ of least loss, each bit's logistic loss weighted by how well the bit separates i
 is nearly as near is flagged as ambiguous.
 
 Nulls and ties: null text, and text without a letter, is `und` with score 0 and not ambiguous; documents without a label or
-with null text are not learned from; with no label at all everything is `und`; with one label everything with a letter is
+a letter are not learned from; with no label at all everything is `und`; with one label everything with a letter is
 that language, score 1. Equal losses go to the first label by code point. Rows of equal doc_id are predicted one by one.
 """
 
@@ -47,7 +47,7 @@ def features(values: list[bytes]) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) + 1)
     of = np.repeat(np.arange(len(values)), np.diff(ends, prepend=0))
     keep = np.ones(len(joined), bool)
-    keep[1:] = (joined[1:] != 32) | (joined[:-1] != 32)
+    keep[1:] = (joined[1:] != 32) | (joined[:-1] != 32) | (of[1:] != of[:-1])
     x, of = joined[keep].astype(np.uint32), of[keep]
     out = np.zeros((len(values), FEATURES), np.float32)
     code = np.zeros(len(x), np.uint32)
@@ -76,6 +76,8 @@ def count_by_language(docs: DataFrame) -> DataFrame:
         held: dict[str, np.ndarray] = {}
         for b in batches:
             langs, values = b.column("lang").to_pylist(), texts(b.column("text"))
+            some = [i for i, t in enumerate(values) if has_letter(t)]
+            langs, values = [langs[i] for i in some], [values[i] for i in some]
             for at, to in _blocks(values):
                 x = features(values[at:to])
                 for lang in set(langs[at:to]):

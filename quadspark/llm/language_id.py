@@ -93,6 +93,8 @@ def count_by_language(docs: DataFrame) -> DataFrame:
 
 def codewords(n: int) -> np.ndarray:
     """(n, bits) of +1 and -1: exhaustive codes up to 7 languages, else the best of seeded random codes."""
+    if n < 2:
+        return np.zeros((n, 0))
     if n <= 7:
         bits = [b for b in itertools.product((1, -1), repeat=n) if b[0] == 1 and -1 in b]
         return np.array(bits, np.float64).T.reshape(n, -1)

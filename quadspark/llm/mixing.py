@@ -158,7 +158,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     pieces = docs.filter("size > 0").select("src", "doc_id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
     begin = F.greatest(F.col("block") * block, F.col("start"))
     pieces = pieces.select("src", "block", "doc_id", "start", (begin - F.col("start")).alias("first"), (F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - begin).alias("words"))
-    return Mix(docs, each.join(pieces, ["src", "block"]))
+    # both sides grow with the corpus, though the plan that the slots are made from looks small to the optimizer
+    return Mix(docs, each.hint("merge").join(pieces.hint("merge"), ["src", "block"]))
 
 
 def taken(m: Mix) -> DataFrame:

@@ -3,8 +3,8 @@
 The patterns give the base spans. The models add spans: a run of at least MIN_RUN characters of a key alphabet, outside
 every base span, is a secret when the log-likelihood ratio of the two first-order character models, per character, is over
 the threshold. Both models are trained from labelled samples: random strings of the usual key alphabets (generated from a
-seed) against ordinary identifiers, which are words of the corpus (at most SAMPLE_WORDS distinct ones, those of least hash,
-from at most SAMPLE_DOCS documents of least hash) alone and joined the way identifiers are. The threshold is the larger of
+seed) against ordinary identifiers, which are words of the corpus (at most SAMPLE_WORDS distinct ones, those of least hash, from
+about SAMPLE_DOCS documents, those whose hash is under a bound set by their number) alone and joined the way identifiers are. The threshold is the larger of
 a fixed floor and the highest ratio of a held-out quarter of the ordinary sample. Scanning covers every whole text.
 
 Nulls and ties: null text is empty and has no spans; without any corpus words the ordinary sample is a built-in one. Rows
@@ -140,7 +140,8 @@ def labelled(words: list[str], seed: int = SEED) -> tuple[list[str], list[str],
 
 def fit(docs: DataFrame) -> Models:
     """Models from the bounded sample of corpus words that stand outside base spans' alphabets (letters only)."""
-    some = docs.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text")
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    some = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("text")
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,40}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
     return train(*labelled([r["w"] for r in words.collect()]))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, mix64, table, texts, word_hashes
+from .common import in_chunks, mix64, small_batches, table, texts, word_hashes
 
 K, THRESHOLD, RADIUS, BITS = 5, 0.8, 40, 128
 ITEM_BYTES = 8 << 20
@@ -177,6 +177,7 @@ def _found(b: Benchmark, values: list[bytes]) -> list[list[tuple[int, float, int
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with `leaks`, an array of (item_id, similarity, first_word, words); docs must have a text column."""
     spark = docs.sparkSession
+    small_batches(spark)
     if "leaks" in docs.columns:
         docs = docs.drop("leaks")
     kind = "array<struct<item_id: bigint, similarity: double, first_word: bigint, words: bigint>>"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, table, texts
+from .common import in_chunks, small_batches, table, texts
 
 ORDERS, BUCKETS, STRENGTH = (1, 2, 3, 4), 1 << 12, 40.0
 FEATURES = len(ORDERS) * BUCKETS
@@ -86,6 +86,7 @@ def count_by_language(docs: DataFrame) -> DataFrame:
         for lang, n in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.list_(pa.int64()))], ["lang", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.filter("lang is not null and text is not null").select("lang", "text")
     counts = rows.mapInArrow(run, "lang string, n array<bigint>").select("lang", F.posexplode("n").alias("feature", "n"))
     return counts.filter("n > 0").groupBy("lang", "feature").agg(F.sum("n").alias("n"))

@@ -55,7 +55,7 @@ class WordEncoder(dict):
 
     MARKS = bytes(range(0xCC, 0x100))
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

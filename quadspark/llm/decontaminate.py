@@ -1,12 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: windows around shared shingles, bounded by what they can share, exact shingle similarity.
 
 Every K-word shingle of every text is looked up among the items' shingles; a window with none of an item's shingles has
-similarity 0 with it, so windows are only made around hits (nothing is lost by that). There, for each item whose shingle was
-hit, all windows of as many words as the item has get a 128-bit SimHash of their weighted shingles. Candidates come from an
-index of RADIUS + 1 blocks of bits: two fingerprints at most RADIUS bits apart agree in one of them. A candidate within the
-radius is then compared exactly: sum of min(counts) * weight over sum of max(counts) * weight, at least THRESHOLD. A shingle
-of the benchmark weighs 1 / (items that have it), another 1. At similarity 0.8 the expected distance is 19 bits with a
-deviation of 4, so a radius of 40 is five deviations away.
+similarity 0 with it, so windows are only made around hits (nothing is lost by that). There, an item whose hit shingles could not
+reach the threshold in any window is left; for each other one, all windows of as many words as the item has are bounded from
+running sums, and those whose bound reaches the threshold are compared exactly: sum of min(counts) * weight over sum of
+max(counts) * weight. The bounds are never under the similarity, so no window at THRESHOLD or more is missed.
+
+Two weightings are used, and a window that reaches THRESHOLD in either is a leak. In the first a shingle of the benchmark weighs
+1 / (items of the whole benchmark that have it) and another 1, so that copies of an item's own words count although its template
+was changed. In the second all weigh 1, so that near copies of items that repeat or share a template are found. The similarity
+reported is the first where that reaches THRESHOLD, and otherwise the second.
 
 The benchmark goes to the executors in blocks of at most ITEM_BYTES of text, each with a pass over the documents.
 
@@ -18,7 +21,7 @@ equal doc_id or item_id are handled one by one. A-Z are lower-cased; words are r
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from .common import in_chunks, mix64, small_batches, table, texts, word_hashes
 
 K, THRESHOLD, RADIUS, BITS = 5, 0.8, 40, 128
 ITEM_BYTES = 8 << 20
+#: More than the running sums can be off.
+_EPS = 1e-6
 _U = np.uint64
 
 
@@ -40,18 +45,8 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def signs(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(shingles, BITS) of plus or minus the weight."""
-    bits = np.unpackbits(np.stack([mix64(x ^ _U(0xA5A5A5A5DEADBEEF)), mix64(x + _U(0x1234567890ABCDEF))], 1).view(np.uint8), axis=1)
-    return (bits.astype(np.float32) * 2 - 1) * weights[:, None].astype(np.float32)
-
-
-def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1)
-
-
 class MultiIndex:
-    """Fingerprints (n, BITS / 8 bytes) under radius + 1 blocks of bits."""
+    """Fingerprints (n, BITS / 8 bytes) under radius + 1 blocks of bits. Leaks are found without it: no radius holds for all weights."""
 
     def __init__(self, fingerprints: np.ndarray, radius: int):
         self.bits, self.radius = np.unpackbits(fingerprints, axis=1), radius
@@ -80,37 +75,50 @@ class MultiIndex:
         return row[ok], item[ok]
 
 
+def item_shingles(text: str | None) -> np.ndarray:
+    return rolled(word_hashes([(text or "").encode()])[0], K)
+
+
+def item_counts(items: Iterable[tuple[int, str | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that several items have, sorted; how many items have each)."""
+    held = [np.unique(item_shingles(t)) for _, t in items]
+    s, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+    return s[n > 1], n[n > 1]
+
+
 class Benchmark:
-    """Items as (id, text), ready to be looked for."""
+    """Items as (id, text), ready to be looked for; counts are the item_counts of the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], counts: tuple[np.ndarray, np.ndarray] | None = None):
         self.ids, self.lens, self.bags, self.short = [], [], [], defaultdict(list)
-        seen: Counter = Counter()
+        shared, many = item_counts(items) if counts is None else counts
         for i, t in items:
             h = word_hashes([(t or "").encode()])[0]
             if len(h) >= K:
                 self.ids.append(i)
                 self.lens.append(len(h))
                 self.bags.append(Counter(rolled(h, K).tolist()))
-                seen.update(self.bags[-1].keys())
             elif len(h):
                 self.short[tuple(h.tolist())].append(i)
-        self.weight = {s: 1 / n for s, n in seen.items()}
-        self.sorted = np.array(sorted(seen), np.uint64)
-        self.sorted_weight = np.array([self.weight[s] for s in self.sorted.tolist()])
         owners = defaultdict(list)
         for n, bag in enumerate(self.bags):
-            for s in bag:
-                owners[s].append(n)
-        self.owners = [owners[s] for s in self.sorted.tolist()]
+            for s, c in bag.items():
+                owners[s].append((n, c))
+        self.sorted = np.array(sorted(owners), np.uint64)
+        self.sorted_weight = np.ones(len(self.sorted))
+        if len(shared) and len(self.sorted):
+            place = np.minimum(np.searchsorted(shared, self.sorted), len(shared) - 1)
+            self.sorted_weight = np.where(shared[place] == self.sorted, 1 / many[place], 1.0)
+        self.weight = dict(zip(self.sorted.tolist(), self.sorted_weight.tolist(), strict=True))
+        # the items of shingle n and its counts in them are at owner_from[n] to owner_from[n + 1]
+        self.owner_from = np.concatenate([[0], np.cumsum([len(owners[s]) for s in self.sorted.tolist()])]).astype(np.int64)
+        flat = [o for s in self.sorted.tolist() for o in owners[s]]
+        self.owner, self.owner_count = (np.array([o[i] for o in flat], np.int64) for i in (0, 1))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.sorted >> _U(44)).astype(np.int64)] = True
-        self.by_len = defaultdict(list)
-        for n, size in enumerate(self.lens):
-            self.by_len[size].append(n)
-        prints = [packed(signs(np.array(list(b), np.uint64), np.array([c * self.weight[s] for s, c in b.items()])).sum(0, keepdims=True))[0] for b in self.bags]
-        self.index = {size: MultiIndex(np.stack([prints[n] for n in ns]), RADIUS) for size, ns in self.by_len.items()}
-        self.total = [sum(c * self.weight[s] for s, c in b.items()) for b in self.bags]
+        self.own = [np.array(sorted(b), np.uint64) for b in self.bags]
+        self.total = np.array([sum(c * self.weight[s] for s, c in b.items()) for b in self.bags])
+        self.plain_total = np.array([sum(b.values()) for b in self.bags])
 
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, number of the benchmark shingle) of all shingles of x that items have."""
@@ -119,40 +127,56 @@ class Benchmark:
         ok = (n < len(self.sorted)) & (self.sorted[np.minimum(n, len(self.sorted) - 1)] == x[at]) if len(self.sorted) else np.zeros(len(at), bool)
         return at[ok], n[ok]
 
-    def similarity(self, window: np.ndarray, item: int) -> float:
-        bag, same = self.bags[item], 0.0
+    def similarity(self, window: np.ndarray, item: int) -> tuple[float, float]:
+        """Weighted, and with all weights 1."""
+        bag, same, both = self.bags[item], 0.0, 0
         mine, total = Counter(window.tolist()), 0.0
         for s, c in mine.items():
-            w = self.weight.get(s, 1.0)
+            w, m = self.weight.get(s, 1.0), min(c, bag.get(s, 0))
             total += c * w
-            same += min(c, bag.get(s, 0)) * w
-        return same / (total + self.total[item] - same)
+            same += m * w
+            both += m
+        return same / (total + self.total[item] - same), both / (len(window) + self.plain_total[item] - both)
+
+    def _possible(self, n: np.ndarray) -> np.ndarray:
+        """The items that hits n could make similar: they share THRESHOLD of all the item has, in one of the weightings."""
+        s, c = np.unique(n, return_counts=True)
+        many = self.owner_from[s + 1] - self.owner_from[s]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.owner_from[s], many)
+        item, shared = self.owner[at], np.minimum(np.repeat(c, many), self.owner_count[at])
+        items, of = np.unique(item, return_inverse=True)
+        plain, weighted = np.bincount(of, shared), np.bincount(of, shared * np.repeat(self.sorted_weight[s], many))
+        return items[(plain >= THRESHOLD * self.plain_total[items] - _EPS) | (weighted >= THRESHOLD * self.total[items] - _EPS)]
 
     def matches(self, h: np.ndarray, x: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item id, similarity, first word, words) in a text of words h and shingles x, hits n at positions at."""
         if len(h) < K:
             return [(i, 1.0, 0, len(h)) for i in self.short.get(tuple(h.tolist()), ())]
-        best: dict[int, tuple[float, int, int]] = {}
+        best: tuple[dict[int, tuple[float, int, int]], ...] = ({}, {})
         wide = max(self.lens)
+        sums = lambda v: np.concatenate([[0.0], np.cumsum(v)])
         for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * wide) + 1):
-            if not len(part):
+            items = self._possible(n[part]) if len(part) else ()
+            if not len(items):
                 continue
             a, b = max(0, at[part[0]] - wide), min(len(x), at[part[-1]] + wide)
             some = x[a:b]
-            place = np.minimum(np.searchsorted(self.sorted, some), len(self.sorted) - 1)
-            weights = np.where(self.sorted[place] == some, self.sorted_weight[place], 1.0)
-            sums = np.concatenate([np.zeros((1, BITS), np.float64), np.cumsum(signs(some, weights), 0, dtype=np.float64)])
-            hit = {i for p in part for i in self.owners[n[p]]}
-            for size in {self.lens[i] for i in hit}:
-                m = min(size - K + 1, len(some))
-                row, item = self.index[size].within(packed(sums[m:] - sums[:-m]))
-                for r, j in zip(row.tolist(), item.tolist(), strict=True):
-                    i = self.by_len[size][j]
-                    if i in hit:
-                        s = self.similarity(some[r : r + m], i)
-                        if s >= THRESHOLD and s > best.get(i, (0.0,))[0]:
-                            best[i] = (s, a + r, m + K - 1)
-        return [(self.ids[i], *best[i]) for i in sorted(best)]
+            weights = np.ones(len(some))
+            weights[at[part] - a] = self.sorted_weight[n[part]]
+            total = sums(weights)
+            for i in items.tolist():
+                m = min(self.lens[i] - K + 1, len(some))
+                own = self.own[i]
+                mine = own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some
+                plain, weighted = sums(mine), sums(mine * weights)
+                bound = (1 + THRESHOLD) * (plain[m:] - plain[:-m]) >= THRESHOLD * (m + self.plain_total[i]) - _EPS
+                bound |= (1 + THRESHOLD) * (weighted[m:] - weighted[:-m]) >= THRESHOLD * (total[m:] - total[:-m] + self.total[i]) - _EPS
+                for r in np.flatnonzero(bound).tolist():
+                    for s, found in zip(self.similarity(some[r : r + m], i), best, strict=True):
+                        if s >= THRESHOLD and s > found.get(i, (0.0,))[0]:
+                            found[i] = (s, a + r, m + K - 1)
+        found = best[1] | best[0]
+        return [(self.ids[i], *found[i]) for i in sorted(found)]
 
 
 def _found(b: Benchmark, values: list[bytes]) -> list[list[tuple[int, float, int, int]]]:
@@ -184,7 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     fields = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("words", pa.int64())]))
 
     def one_pass(docs: DataFrame, items: list[tuple[int, str | None]], out: str) -> DataFrame:
-        held = spark.sparkContext.broadcast(Benchmark(items))
+        held = spark.sparkContext.broadcast(Benchmark(items, counts))
         names = docs.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             size = 0
         blocks[-1].append((r["item_id"], r["text"]))
         size += len(r["text"] or "")
+    counts = item_counts(item for items in blocks for item in items)
     passes = [f"_leaks_{i}" for i in range(len(blocks))]
     names = docs.columns
     for items, out in zip(blocks, passes, strict=True):

@@ -1,22 +1,24 @@
 """MinHash near-dedup with SuperMinHash signatures, banding, verification on whole sets and union-find grouping.
 
 A document's set is its distinct K-word shingles (A-Z lower-cased; of fewer words the whole sequence). Documents of equal
-sets are one class, represented by its smallest doc_id, so copies are never paired.
+sets are one class, a node of the graph with a number of its own, so copies are never paired and doc_ids play no part in linking.
+A class is represented by its smallest (doc_id, text hash), as is a group of linked classes.
 
 Signatures: every shingle has a pseudorandom permutation of the M slots (Fisher-Yates, step by step) and a fraction for each
 step; slot i of the signature is the least rank + fraction that any shingle gives it. All shingles of a document take step j
 at once, and a document stops as soon as each of its slots is filled: a later step can only give larger values. BANDS bands
 of ROWS slots: two sets of similarity 0.8 share no band with probability (1 - 0.8^6)^48 = 5e-7.
 
-Pairs: a bucket's member of least id is its hub, and every member is compared with its hubs; confirmed links are grouped; a hub
+Pairs: a bucket's member of least number is its hub, and every member is compared with its hubs; confirmed links are grouped; a hub
 whose buckets still hold several groups goes on, with the rows outside the largest group against all. Rows are compared in
 blocks of about BLOCK_ROWS rows of either side, inside one task, by products of incidence matrices; only links between different
 groups leave it, so no pairs are emitted, a hot group is spread over its blocks, and no candidate pair that could join two groups
 is left out. Similarity is counted on whole shingle sets made anew from the texts (64-bit hashes). Groups are found by union-find
 in each task and large-star, small-star rounds over what is left.
 
-Nulls and ties: null, empty and blank texts have empty sets, size 0, and are linked with nothing. Rows of equal doc_id are one
-document of the graph. A null doc_id counts as the largest id; its component_id is null if nothing else is in its group.
+Nulls and ties: null, empty and blank texts have empty sets, size 0, and are linked with nothing. A document is a (doc_id, text):
+rows equal in both are kept or not together, rows of equal or null doc_id and other texts are documents of their own, of which the
+smaller text hash goes first. A null doc_id counts as the largest id; component_id is null if all of its group have null ids.
 Other columns are ignored.
 """
 
@@ -201,31 +203,31 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarr
 
 
 def _checked(k: int, percent: int):
-    """Rows (h, i, j, side, id, th, g, text), those of a block together: links between its sides and different groups g,
+    """Rows (h, i, j, side, node, g, text), those of a block together: links between its sides and different groups g,
     one at most for each row of side 0 and each group of side 1."""
 
     def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         sides = [[r for r in rows if r[0] == s] for s in (0, 1)]
         if not all(sides):
             return
-        names = list({(r[1], r[2]): r[4] for r in rows}.items())
+        names = list({r[1]: r[3] for r in rows}.items())
         sets = {}
         for x, y in in_chunks([t for _, t in names]):
             sets |= dict(zip([n for n, _ in names[x:y]], shingles([t for _, t in names[x:y]], k), strict=True))
-        ok = _similar(*([sets[r[1], r[2]] for r in side] for side in sides), percent)
+        ok = _similar(*([sets[r[1]] for r in side] for side in sides), percent)
         for x, row in zip(sides[0], ok, strict=True):
-            done = {x[3]}
+            done = {x[2]}
             for at in np.flatnonzero(row):
                 y = sides[1][at]
-                if y[3] not in done:
-                    done.add(y[3])
+                if y[2] not in done:
+                    done.add(y[2])
                     yield x[1], y[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, found = None, [], []
         for b in batches:
             keys = list(zip(*(b.column(n).to_pylist() for n in ("h", "i", "j")), strict=True))
-            values = zip(*(b.column(n).to_pylist() for n in ("side", "id", "th", "g")), texts(b.column("text")), strict=True)
+            values = zip(*(b.column(n).to_pylist() for n in ("side", "node", "g")), texts(b.column("text")), strict=True)
             for x, row in zip(keys, values, strict=True):
                 if x != key:
                     found += links(rows)
@@ -240,23 +242,23 @@ def _checked(k: int, percent: int):
 
 
 def verified(blocks: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (u, v) of blocks (h, i, j, side, id, th, g); bodies: (id, th, text)."""
-    rows = blocks.join(bodies, ["id", "th"]).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side")
-    return rows.select("h", "i", "j", "side", "id", "th", "g", "text").mapInArrow(_checked(k, percent), "u long, v long")
+    """The links (u, v) of blocks (h, i, j, side, node, g); bodies: (node, text)."""
+    rows = blocks.join(bodies, "node").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side")
+    return rows.select("h", "i", "j", "side", "node", "g", "text").mapInArrow(_checked(k, percent), "u long, v long")
 
 
 def _block(many):
     """The block of a row among `many`, and how many there are."""
     blocks = F.ceil(many / BLOCK_ROWS)
-    return F.pmod(F.xxhash64("id", "th"), blocks).cast("int"), (blocks - 1).cast("int")
+    return F.pmod(F.xxhash64("node"), blocks).cast("int"), (blocks - 1).cast("int")
 
 
 def _blocks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every block of a with every block of b of the same h; both (h, id, th, g, na, nb), the sizes of a's and b's sides."""
+    """Every block of a with every block of b of the same h; both (h, node, g, na, nb), the sizes of a's and b's sides."""
     (ai, a_last), (bj, b_last) = _block(F.col("na")), _block(F.col("nb"))
     zero = F.lit(0)
-    left = a.select("h", ai.alias("i"), F.explode(F.sequence(zero, b_last)).alias("j"), zero.alias("side"), "id", "th", "g")
-    right = b.select("h", F.explode(F.sequence(zero, a_last)).alias("i"), bj.alias("j"), F.lit(1).alias("side"), "id", "th", "g")
+    left = a.select("h", ai.alias("i"), F.explode(F.sequence(zero, b_last)).alias("j"), zero.alias("side"), "node", "g")
+    right = b.select("h", F.explode(F.sequence(zero, a_last)).alias("i"), bj.alias("j"), F.lit(1).alias("side"), "node", "g")
     return left.unionByName(right)
 
 
@@ -265,25 +267,26 @@ def near_dups(docs: DataFrame, k: int, percent: int = PERCENT, rows: int = ROWS,
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     sig = stored(signatures(docs, k, rows, bands), "signatures")
     full = sig.filter("n > 0")
-    classes = stored(full.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("bands").alias("bands")).select("d1", "d2", "n", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "bands"), "classes")
-    entries = classes.select("id", "th", "n", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top")
+    classes = full.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("bands").alias("bands"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "bands"), "classes")
+    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top")
     members = stored(entries.join(shared.drop("top"), "bucket"), "members")
 
-    nodes = members.select("id", "th").distinct()
+    nodes = stored(classes.select("node", "id", "th").join(members.select("node").distinct(), "node", "left_semi"), "nodes")
     wanted = Filter(nodes.select(F.xxhash64("id", "th")), "once")
-    bodies = docs.filter(wanted.passes(F.xxhash64("id", "th"))).join(nodes, ["id", "th"]).dropDuplicates(["id", "th"])
-    bodies = stored(bodies.select("id", "th", "text"), "bodies")
+    bodies = docs.filter(wanted.passes(F.xxhash64("id", "th"))).join(nodes, ["id", "th"]).dropDuplicates(["node"])
+    bodies = stored(bodies.select("node", "text"), "bodies")
 
-    hubs = stored(members.select(F.col("hub").alias("h"), "id", "th").distinct(), "hubs")
+    hubs = stored(members.select(F.col("hub").alias("h"), "node").distinct(), "hubs")
     many = hubs.groupBy("h").agg(F.count("*").alias("n"))
-    alone = hubs.join(many, "h").withColumn("g", F.col("id"))
-    first = _blocks(alone.filter("id = h").withColumns({"na": F.lit(1), "nb": F.col("n")}), alone.filter("id <> h").withColumns({"na": F.lit(1), "nb": F.col("n")}))
+    alone = hubs.join(many, "h").withColumn("g", F.col("node"))
+    first = _blocks(alone.filter("node = h").withColumns({"na": F.lit(1), "nb": F.col("n")}), alone.filter("node <> h").withColumns({"na": F.lit(1), "nb": F.col("n")}))
     links = stored(verified(first, bodies, k, percent), "links")
     groups = components(links)
 
     # hubs whose buckets still hold several groups: the rows outside the largest one against all
-    named = hubs.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("root", "id")).drop("root")
+    named = hubs.join(groups, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("root")
     sizes = named.groupBy("h", "g").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("h").agg(F.count("*").alias("gs"), F.max(F.struct("c", "g")).alias("most"), F.sum("c").alias("nb")).filter("gs > 1")
     left = stored(named.join(mixed.select("h", F.col("most.g").alias("major"), (F.col("nb") - F.col("most.c")).alias("na"), "nb"), "h"), "mixed")
@@ -292,10 +295,14 @@ def near_dups(docs: DataFrame, k: int, percent: int = PERCENT, rows: int = ROWS,
     if more.limit(1).count():
         groups = components(links.unionByName(more))
 
-    of_class = classes.select("d1", "d2", "n", F.col("id").alias("node")).join(groups, "node", "left").select("d1", "d2", "n", F.coalesce("root", "node").alias("component"))
-    out = sig.select("id", "th", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    firsts = grouped.join(nodes, "node").groupBy("root").agg(F.min(F.struct("id", "th")).alias("first"))
+    of_class = classes.select("node", "d1", "d2", "n", F.struct("id", "th").alias("rep")).join(grouped.join(firsts, "root").drop("root"), "node", "left")
+    of_class = of_class.select("d1", "d2", "n", F.coalesce("first", "rep").alias("first"))
+    out = sig.select("id", "th", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").withColumn("first", F.coalesce("first", F.struct("id", "th")))
     real = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return out.select(real("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    kept = (F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    return out.select(real("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), real("first.id").alias("component_id"), kept.alias("kept"))
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cases in which the training-data operators once did less than the whole job."""
 
-from quadspark.llm import decontaminate
+import corpus_pipeline
+from quadspark.llm import decontaminate, near_dups
 
 # --- decontamination -------------------------------------------------------------------------------------------------
 
@@ -38,3 +39,25 @@ def test_weights_count_the_whole_benchmark(spark, monkeypatch):
     whole = decontaminate.leaks(docs, bench).first()["leaks"]
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 10)
     assert [r["item_id"] for r in whole] == [5] and decontaminate.leaks(docs, bench).first()["leaks"] == whole
+
+
+# --- near duplicates -------------------------------------------------------------------------------------------------
+
+
+def test_rows_of_equal_or_null_id_are_documents_of_their_own(spark):
+    """Only near copies go: an id says nothing about another row's text."""
+
+    def text(name, changed=None):
+        return " ".join(f"{name}{i}" if i != changed else "changed" for i in range(120))
+
+    docs = [(3, text("a")), (7, text("a", 60)), (7, text("b")), (9, text("b", 50)), (5, text("c")), (None, text("c", 40)), (None, text("d")), (None, text("e"))]
+    docs += [(None, text("f")), (None, text("f", 70)), (8, text("g")), (8, text("g", 30)), (None, "  "), (None, None), (8, text("h"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    of = {r["th"]: (r["component_id"], r["kept"]) for r in near_dups.near_dups(df, 5).collect()}
+    th = {t: h for t, h in df.selectExpr("text", "xxhash64(coalesce(text, ''))").collect()}
+    got = [of[th[t]] for _, t in docs]
+    assert got[:8] == [(3, True), (3, False), (7, True), (7, False), (5, True), (5, False), (None, True), (None, True)]
+    assert sorted(got[8:10]) == [(None, False), (None, True)] and sorted(got[10:12]) == [(8, False), (8, True)]
+    assert got[12:] == [(None, True), (None, True), (8, True)]
+    left = sorted(r["text"] or "" for r in corpus_pipeline.one_of_each(spark, df, "").collect())
+    assert left == sorted(t or "" for (_, t), (_, kept) in zip(docs, got, strict=True) if kept)

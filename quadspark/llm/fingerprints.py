@@ -1,55 +1,69 @@
-"""Document fingerprints by winnowing, with DataFrame functions only.
+"""Document fingerprints by winnowing over code points, with DataFrame functions only.
 
-A text is lower-cased and cut into tokens (runs without white space, at most `TOKEN_CHARS` long). Token hashes are combined
-over K tokens by cyclic polynomials (rotate and xor, a rolling hash), and of every window of W grams the least one is kept,
-the rightmost of equal ones, with its position. So two texts that share K + W - 1 tokens in a row share a kept gram.
+A text is lower-cased and stripped of white space (\\x20, \\x09-\\x0D). The hash of a gram of K code points is built up from
+the hashes of the quarter-grams that it shares with its neighbours, so each position costs two steps whatever K is. Of every
+window of W grams the least is kept, the rightmost of equal ones, with its position in the stripped text. So two texts that
+share K + W - 1 code points in a row (white space not counted) share a kept gram, in any script and at any offset.
 
 A gram's hash (34 bits) and reversed position (30 bits) are packed into one long, so that the least long of a window is the
-least hash with the rightmost position. Window minima take log2(W) passes over the array.
+least hash with the rightmost position. Window minima take a few passes over the array. Texts are worked off in pieces that
+overlap by K + W - 2 code points, so that no array of a whole text's grams is ever held, however long the text is.
 
-Nulls and ties: null text is empty; a text without tokens has the empty fingerprint; one of fewer than K tokens is one gram.
-Two empty fingerprints have likeness 1, an empty and another one 0. Null doc_id comes last in descending order; rows of equal
-doc_id follow each other by text.
+Nulls and ties: null text is empty; a text without other than white space has the empty fingerprint; one of fewer than K code
+points is one gram. Two empty fingerprints have likeness 1, an empty and another one 0. Rows of null doc_id come last, by
+descending hash of their texts; rows of equal doc_id follow each other by text. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rotl, table
+from .common import SPACES, table
+
+K, W, POS_BITS = 16, 32, 30
+#: Windows of a piece, and of a run of pieces; the second bounds the cost of finding a piece's place in a long text.
+PIECE, RUN = 1 << 13, 1 << 18
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _merged(x: Column, step: int, of: Callable[..., Column]) -> Column:
+    """of(a[i], a[i + step], a[i + 2 * step], a[i + 3 * step]) at each i; beyond the end are nulls."""
+    return _let(x, lambda a: F.transform(a, lambda v, i: of(v, *(F.get(a, i + j * step) for j in (1, 2, 3)))))
 
-K, W, TOKEN_CHARS, POS_BITS = 3, 4, 16, 30
 
+def _kept(piece: Column, before: Column) -> Column:
+    """The packed minima of a piece's windows; `before`: code points before the piece."""
+    place = F.lit((1 << POS_BITS) - 1).cast("long") - before
+    x = _merged(F.split(piece, ""), 1, F.xxhash64)
+    x = _let(x, lambda a: F.transform(a, lambda v, i: F.xxhash64(v, *(F.get(a, i + j * 4) for j in (1, 2, 3))).bitwiseAND(F.lit(-(1 << POS_BITS))).bitwiseOR(place - i)))
+    x = F.slice(x, F.lit(1), F.greatest(F.length(piece) - (K - 1), F.lit(1)))
+    for step in (1, 4):
+        x = _merged(x, step, F.least)
+    x = _let(x, lambda a: F.transform(a, lambda v, i: F.least(v, F.get(a, i + 16))))
+    return F.array_distinct(F.slice(x, F.lit(1), F.greatest(F.length(piece) - (K + W - 2), F.lit(1))))
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
-    """df with array<long> column `out`: the kept grams of column `text` (not null), each hash << 30 | reversed position."""
-    if w & (w - 1):
-        raise ValueError("the window must be a power of two")
-    h, g, n = f"_{out}_h", f"_{out}_g", f"_{out}_n"
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}"), F.lit(0))
-    df = df.withColumn(h, F.transform(words, lambda x: F.xxhash64(x)))
 
-    def gram(i: Column) -> Column:
-        parts = [rotl(F.get(h, i + j), k - 1 - j) for j in range(k)]
-        x = parts[0]
-        for p in parts[1:]:
-            x = x.bitwiseXOR(p)
-        return x
+def _in_pieces(text: Column, size: int, of: Callable[[Column, Column], Column]) -> Column:
+    """The results of all pieces of `size` windows, one after the other; of: (piece, code points before it)."""
+    many = F.greatest(F.ceil((F.length(text) - (K + W - 2)) / size).cast("int"), F.lit(1))
+    cut = lambda p: _let(F.substring(text, p * size + 1, F.lit(size + K + W - 2)), lambda piece: of(piece, (p * size).cast("long")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), many - 1), cut))
 
-    def packed(x: Column, i: Column) -> Column:
-        return F.xxhash64(x).bitwiseAND(F.lit(-(1 << POS_BITS))).bitwiseOR((F.lit((1 << POS_BITS) - 1) - i).cast("long"))
 
-    whole = F.aggregate(F.col(h), F.lit(0).cast("long"), lambda a, x: rotl(a, 1).bitwiseXOR(x))
-    none = F.array().cast("array<bigint>")
-    grams = F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: packed(gram(i), i))).when(F.size(h) > 0, F.array(packed(whole, F.lit(0)))).otherwise(none)
-    df = df.withColumn(g, grams).withColumn(n, F.size(g)).drop(h)
-    step = 1
-    while step < w:  # minima of windows of 2 * step grams; those at the end are cut short
-        df = df.withColumn(g, F.zip_with(F.col(g), F.slice(F.col(g), step + 1, F.col(n)), lambda a, b: F.least(a, b)))
-        step *= 2
-    kept = F.array_distinct(F.slice(F.col(g), F.lit(1), F.greatest(F.col(n) - (w - 1), F.lit(1))))
-    return df.withColumn(out, kept).drop(g, n)
+def fingerprint(text: Column) -> Column:
+    """array<long> of a text's kept grams (null: as empty), in order of position: each hash << 30 | reversed position."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for c in SPACES:
+        plain = F.replace(plain, F.lit(c), F.lit(""))
+    runs = lambda t: _in_pieces(t, RUN, lambda run, a: _in_pieces(run, PIECE, lambda piece, b: _kept(piece, a + b)))
+    return _let(plain, lambda t: F.when(F.length(t) > 0, F.array_distinct(runs(t))).otherwise(F.array().cast("array<bigint>")))
 
 
 def as_text(fp: Column) -> Column:
@@ -71,33 +85,45 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs with next_<column> of the row that follows by descending doc_id (after the last: the first).
 
-    Rows are dealt into ranges of doc_id, several for each shuffle partition; each range also gets the rows of largest id
-    of the range that follows it, so one exchange of the rows is enough and no window spans all of them.
+    Rows are dealt into ranges of doc_id (of their text's hash where that is null), several for each shuffle partition; each
+    range also gets the rows of largest key of the range that follows it, so one exchange of the rows is enough and no window
+    spans all of them. The bounds come from a quantile sketch; a row finds its range by binary search.
     """
     spark = docs.sparkSession
     many = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.select(F.percentile_approx("doc_id", [i / many for i in range(1, many)], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    ranged = docs.withColumn("_range", F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(-1)) if bounds else F.when(F.col("doc_id").isNull(), -1).otherwise(0))
-    tops = {r["_range"]: r["top"] for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("top")).collect()}  # a row for each range
+    keyed = docs.withColumns({"_none": F.col("doc_id").isNull(), "_key": F.coalesce("doc_id", F.xxhash64("text"))})
+    found = {r["_none"]: sorted(set(r["b"])) for r in keyed.groupBy("_none").agg(F.percentile_approx("_key", [i / many for i in range(1, many)], 10_000).alias("b")).collect()}
+
+    def place(bounds: list[int]) -> Column:
+        """How many of the bounds are under the key."""
+        if not bounds:
+            return F.lit(0)
+        of = F.array(*map(F.lit, bounds)).cast("array<bigint>")
+        steps = F.array(*(F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))))
+        return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.coalesce(F.get(of, i + s - 1) < F.col("_key"), F.lit(False)), i + s).otherwise(i))
+
+    low = len(found.get(True, ())) + 1  # ranges of rows of null doc_id come first, as the order is descending
+    ranged = keyed.withColumn("_range", F.when(F.col("_none"), place(found.get(True, []))).otherwise(place(found.get(False, [])) + low))
+    tops = {r["_range"]: r["top"] for r in ranged.groupBy("_range").agg(F.max("_key").alias("top")).collect()}  # a row for each range
     order = sorted(tops, reverse=True)
     before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range follows the last one
     pairs = spark.createDataFrame([(r, tops[r], before[r]) for r in order], "_range int, _top long, _before int")
-    first = (F.col("doc_id") == F.col("_top")) | F.col("_top").isNull()
-    both = ranged.join(F.broadcast(pairs), "_range").withColumn("_to", F.explode(F.when(first, F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("halo")), F.struct(F.col("_before").alias("at"), F.lit(1).alias("halo")))).otherwise(F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("halo"))))))
-    w = Window.partitionBy("_to.at").orderBy("_to.halo", F.col("doc_id").desc_nulls_last(), "text")
+    own = F.struct(F.col("_range").alias("at"), F.lit(0).alias("halo"))
+    edge = F.struct(F.col("_before").alias("at"), F.lit(1).alias("halo"))
+    both = ranged.join(F.broadcast(pairs), "_range").withColumn("_to", F.explode(F.when(F.col("_key") == F.col("_top"), F.array(own, edge)).otherwise(F.array(own))))
+    w = Window.partitionBy("_to.at").orderBy("_to.halo", F.col("_key").desc(), "text")
     out = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("_to.halo = 0")
-    return out.drop("_range", "_top", "_before", "_to")
+    return out.drop("_none", "_key", "_range", "_top", "_before", "_to")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of the texts, of their edited texts and of the next documents, and their likeness."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_fingerprint(docs, "text", "fp"), ["text", "fp"])
+    docs = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-    docs = with_fingerprint(docs.drop("text", "next_text"), "edited", "edited_fp")
+    docs = docs.drop("text", "next_text").withColumn("edited_fp", fingerprint(F.col("edited")))
     return docs.withColumns({"_a": hashes(F.col("fp")), "_b": hashes(F.col("edited_fp")), "_c": hashes(F.col("next_fp"))})
 
 

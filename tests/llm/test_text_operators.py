@@ -62,36 +62,26 @@ def test_twice_filter_has_no_false_negatives(spark):
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
-def rotl(x, n):
-    n %= 64
-    return ((x << n) | (x >> (64 - n))) & (1 << 64) - 1 if n else x
-
-
-def xx(data: bytes) -> int:
-    return xxhash.xxh64(data, seed=42).intdigest()
+def chained(values):
+    """xxhash64 of several values: each value's hash seeds the next one's."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v, seed=seed).intdigest()
+    return seed
 
 
 def winnowed(text, k=fingerprints.K, w=fingerprints.W):
-    words = re.findall(r"[^\x20\x09-\x0D]{1,16}", text.lower())
-    h = [xx(x.encode()) for x in words]
-    grams = []
-    for i in range(len(h) - k + 1):
-        g = 0
-        for j in range(k):
-            g ^= rotl(h[i + j], k - 1 - j)
-        grams.append(g)
-    if h and not grams:
-        g = 0
-        for x in h:
-            g = rotl(g, 1) ^ x
-        grams = [g]
+    """Grams one by one, from quarter-grams of k / 4 code points, and every window's least hash, the rightmost of equal ones."""
+    t = re.sub(r"[\x20\x09-\x0D]", "", text.lower())
+    q = k // 4
+    quarters = [chained(c.encode() for c in t[i : i + q]) for i in range(len(t))]
+    grams = [chained(x.to_bytes(8, "little") for x in quarters[i : i + k : q]) for i in range(max(1, len(t) - k + 1) if t else 0)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    cut = [signed(xx(g.to_bytes(8, "little"))) >> fingerprints.POS_BITS for g in grams]
+    cut = [signed(g) >> fingerprints.POS_BITS for g in grams]
     kept = []
     for i in range(max(1, len(cut) - w + 1) if cut else 0):
-        window = [(x, -p) for p, x in enumerate(cut[i : i + w], i)]
-        x, p = min(window)
-        if (x, -p) not in kept:
+        x, p = min((x, -p) for p, x in enumerate(cut[i : i + w], i))
+        if (x, -p) not in kept[-1:]:
             kept.append((x, -p))
     return kept
 
@@ -138,15 +128,40 @@ def test_fingerprints_query(spark, sf_dir, plain):
     check_fingerprints(rows, plain)
 
 
-def test_shared_runs_share_a_gram():
+def kept(spark, texts):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fingerprints.fingerprint(F.col("t")).alias("f"))
+    pos = (1 << fingerprints.POS_BITS) - 1
+    return [[(x >> fingerprints.POS_BITS, pos - (x & pos)) for x in r["f"]] for r in df.orderBy("i").collect()]
+
+
+def test_texts_longer_than_a_piece(spark, monkeypatch):
+    """Pieces leave no trace: any length around their ends, runs of one character (all hashes equal), no white space, other scripts."""
+    monkeypatch.setattr(fingerprints, "PIECE", 64)
+    monkeypatch.setattr(fingerprints, "RUN", 256)
+    r = np.random.default_rng(5)
+    cjk = "".join(chr(0x4E00 + x) for x in r.integers(0, 3000, 2000))
+    texts = ["", " \t\n", "a", "\U0001f600" * 40, "x" * 700, cjk, "Ab \n" * 300, *("".join(r.choice(list("abcé 漢"), n)) for n in [15, 16, 17, 46, 47, 48, *range(100, 125), *range(300, 320), 2048])]
+    assert kept(spark, texts) == [winnowed(t) for t in texts]
+
+
+def test_shared_runs_share_a_gram(spark):
+    """K + W - 1 code points in a row, at any offset: in words, in text without white space, in one long token."""
     r = np.random.default_rng(2)
-    words = [f"w{i}" for i in range(500)]
     t = fingerprints.K + fingerprints.W - 1
-    for _ in range(50):
-        run = list(r.choice(words, t))
-        a = " ".join([*r.choice(words, 20), *run, *r.choice(words, 9)])
-        b = " ".join([*r.choice(words, 3), *run, *r.choice(words, 30)])
-        assert {x for x, _ in winnowed(a)} & {x for x, _ in winnowed(b)}
+    pairs = []
+    for letters in ("abcdefghij", "".join(map(chr, range(0x4E00, 0x5A00))), "0123456789abcdef"):
+        some = lambda n, letters=letters: "".join(r.choice(list(letters), n))
+        for i in range(20):
+            run = some(t)
+            pairs += [some(20 + i) + run + some(9), some(3) + run + some(30 + 2 * i)]
+    long = "".join(map(chr, r.integers(0x4E00, 0x9000, 2000)))
+    pairs += [long, "x" + long]
+    found = kept(spark, pairs)
+    for a, b in zip(found[::2], found[1::2], strict=True):
+        assert {x for x, _ in a} & {x for x, _ in b}
+    assert alike(found[-2], found[-1]) > 0.97
 
 
 # --- language --------------------------------------------------------------------------------------------------------

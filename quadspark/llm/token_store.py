@@ -21,9 +21,11 @@ each other by the hash of their text. Other columns are ignored. An empty table
 
 from __future__ import annotations
 
+import json
+import re
 import struct
-import uuid
 import sys
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,15 +47,35 @@ _32 = np.uint64(32)
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
 
+#: The normaliser and pre-tokenizer under which the short cuts below are exact.
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+#: Characters that normalisation maps one to one (by lower-casing alone), but for the apostrophe, which has patterns of its own.
+_SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+#: What the pre-tokenizer makes of such characters: runs of letters, single digits, runs of others.
+_PARTS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level letters of À to ÿ: a byte that is no printable Latin-1 character stands for one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordEncoder(dict):
-    """Token ids of texts, by a tokenizer whose pre-tokenizer never joins what white space separates.
+    """Token ids of texts, the same as the tokenizer's, by words.
 
-    Texts are cut at ASCII white space and each piece's ids are kept (two generations of at most `most` pieces). A-Z are
-    lowered first where the tokenizer lowers anyway: not in texts with combining marks (normalisation comes before lowering
-    there) nor in those that may hold special tokens.
+    With the plain normaliser and pre-tokenizer nothing is joined across ASCII white space, so texts are cut there and each
+    word's ids are kept (two generations of at most `most` words). A word of simple characters is cut into the pre-tokenizer's
+    parts, kept on their own, and the model gets each as it stands. All else goes through the whole tokenizer. A-Z are
+    lowered first, but not in texts with combining marks (normalisation comes before lowering there) nor in those that may
+    hold special tokens. With any other tokenizer whole texts are encoded as they are.
     """
 
     MARKS = bytes(range(0xCC, 0x100))
+    LETTERS = _byte_letters()
 
     def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
@@ -61,22 +83,24 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.most, self.old = most, {}
-        one = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        self.lowers = one("QUOTE Zed") == one("quote zed")
-        self.cuts = all(one(f"ab{c}cd") == one("ab") + one("cd") for c in " \t\n\r\x0b\x0c")
-        self.stops = all(one("ab" + c) == one("ab") + one(c) for c in ".,")
-        model, some = self.tokenizer.model, ["a", "quote", "zyxwv", "ofthe", "entionthere", "s", "llve", "q" * 40, *("".join(map(chr, range(97 + i, 123))) for i in range(26))]
-        self.direct = model.tokenize if all([t.id for t in model.tokenize(w)] == one(w) for w in some) else None
+        self.most, self.old, self.model = most, {}, self.tokenizer.model
+        what = json.loads(self.tokenizer.to_str())
+        steps = (what["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = {"type": "Split", "pattern": {"Regex": PLAIN_PATTERN}, "behavior": "Removed", "invert": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        special = all(t["content"].startswith("<|") and not t["content"][2:].isspace() for t in what["added_tokens"])
+        self.plain = what["normalizer"] == PLAIN_NORMALIZER and steps == [split, level] and what["model"]["type"] == "BPE" and what["post_processor"] is None and special
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             s = piece.decode("utf-8", "replace")
-            if self.stops and len(s) > 1 and s[-1] in ".," and s[-2].isalpha() and s[-2] < "̀":
-                ids = self[piece[:-1]] + self[piece[-1:]]
-            elif self.direct and piece.isalpha() and piece.islower():  # ASCII letters: one piece for the model as it stands
-                ids = self._packed([t.id for t in self.direct(s)])
+            if _SIMPLE.fullmatch(s) and "<|" not in s:
+                parts = _PARTS.findall(s)
+                if len(parts) > 1:
+                    ids = b"".join([self[p.encode()] for p in parts])
+                else:
+                    ids = self._packed([t.id for t in self.model.tokenize(s.lower().translate(self.LETTERS))])
             else:
                 ids = self._packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
         if len(self) >= self.most:
@@ -92,9 +116,9 @@ class WordEncoder(dict):
         return a.tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        if not self.cuts:
+        if not self.plain:
             return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
-        if self.lowers and b"<|" not in text and len(text.translate(None, self.MARKS)) == len(text):
+        if b"<|" not in text and len(text.translate(None, self.MARKS)) == len(text):
             text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 

@@ -65,6 +65,22 @@ def test_cached_encoding_is_the_tokenizers(text):
     assert np.frombuffer(e.encode(text.encode()), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_all_letters():
+    """Random strings over all of Unicode, and letters whose lower case is longer before a point."""
+    e, r = token_store.encoder(token_store.vocabulary_path()), random.Random(3)
+    assert e.plain
+    near = [*"abzAZ .,'!<|>09\n\t\x0b\x1c\xa0İıßſKÅÉé×÷ªº\xadΣςŉǰΐẖ", "\u0301", "\u0307", "I\u0307", "'ll", "<|endoftext|>"]
+
+    def some():
+        x = r.random()
+        c = r.randrange(0x110000) if x > 0.85 else r.randrange(0x20, 0x600)
+        return r.choice(near) if x < 0.6 else "" if 0xD800 <= c < 0xE000 else chr(c)
+
+    texts = ["TBMMİ.", "TBMMİ, x", "É.Ç!!", "don't.", "a<|b", *("".join(some() for _ in range(r.randint(1, 25))) for _ in range(12_000)), *(f"a{chr(c)}. {chr(c)}, x{chr(c)}y." for c in range(0x20, 0x2100))]
+    for t in texts:
+        assert np.frombuffer(e.encode(t.encode()), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=3000), st.integers(1, 20))
 def test_rans_roundtrip(ids, lanes):

@@ -19,23 +19,23 @@ LEAST_SCORE = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known: not `und`, and no score under LEAST_SCORE. Learns from documents with a lang."""
     model = language_id.fit(docs.select("lang", "text"))
-    found = language_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    whole = docs.select(F.col("text").cast("string").alias("text"), F.struct(*common.columns(docs)).alias("row"))
+    found = language_id.predict(whole, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near duplicates."""
     gone = near_dups.near_dups(docs, 5).filter("not kept").select("doc_id", "th").distinct()
     last = F.lit((1 << 63) - 1)
-    gone = gone.select(F.coalesce("doc_id", last).alias("_id"), F.col("th").alias("_th"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), last), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(gone, ["_id", "_th"], "left_anti").select(*docs.columns)
+    gone = gone.select(F.coalesce("doc_id", last).alias("id"), "th")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.struct(*common.columns(docs)).alias("row"))
+    return keyed.join(gone, ["id", "th"], "left_anti").select("row.*")
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a passage of the benchmark."""
-    found = decontaminate.leaks(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

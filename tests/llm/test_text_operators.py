@@ -286,21 +286,99 @@ def test_lm_edges(edge, empty):
     assert run(empty, lm_scoring.HEAD) == []
 
 
+def hashed(words):
+    from quadspark.llm import common
+
+    return common.word_hashes([b" ".join(words)])[0]
+
+
 def test_class_model_is_a_distribution(documents):
-    """Emissions of a class and transitions of a class each sum to one."""
-    model, counts = lm_scoring.fit(documents.limit(60).select("text"), head=300)
+    """Emissions of a class, with its unknown word, and transitions of a class each sum to one."""
+    model, counts = lm_scoring.fit(documents.limit(60).select("text"), head=300, seeds=50)
     assert np.allclose((10.0**model.transition).sum(1), 1)
-    head = len(model.words)
     by = defaultdict(list)
-    for w, c in zip(model.words, model.count[:head], strict=True):
-        by[int(model.classes[model.words.index(w)])].append(int(c))
-    known = set(model.words)
     for r in counts.collect():
-        if r["word"].encode() not in known:
-            by[lm_scoring.CLASSES + r["shape"]].append(r["n"])
+        by[int(model.classes[r["word"] & (1 << lm_scoring.BUCKET_BITS) - 1])].append(r["n"])
+    assert lm_scoring.NONE not in by
     for k, ns in by.items():
         total = sum(10.0 ** model.emission(np.array(ns), np.full(len(ns), k))) + 10.0 ** model.emission(np.array([0]), np.array([k]))[0]
         assert abs(total - 1) < 1e-6
+    assert abs(model.emission(np.array([0]), np.array([lm_scoring.NONE]))[0]) < 1e-9
+
+
+@pytest.mark.parametrize("head", [lm_scoring.HEAD, 40, 0])
+def test_scores_are_those_of_one_word_after_the_other(documents, head):
+    """score and class bigrams against loops over words, whatever the head; texts with words that training lacks."""
+    docs = documents.filter("doc_id < 60").withColumn("held_out", lm_scoring.held_out()).select("doc_id", "held_out", "text").cache()
+    model, counts = lm_scoring.fit(docs.filter("not held_out").select("text"), head=head, seeds=30)
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    train = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(x for w in train for x in w)
+    every = sorted({x for w in texts.values() for x in w})
+    of = {x: int(model.classes[int(h) & (1 << lm_scoring.BUCKET_BITS) - 1]) for x, h in zip(every, hashed(every), strict=True)}
+    end, pairs = lm_scoring.END, Counter()
+    for w in train:
+        k = [end, *(of[x] for x in w), end]
+        pairs.update(zip(k, k[1:], strict=False))
+    out, into, size = Counter(), Counter(), lm_scoring.SIZE
+    for (a, b), n in pairs.items():
+        out[a] += n
+        into[b] += n
+    prior = {b: (into[b] + 1) / (sum(out.values()) + size) for b in range(size)}
+    tokens, words = Counter(), Counter()
+    for x, n in c.items():
+        tokens[of[x]] += n
+        words[of[x]] += 1
+    for r in lm_scoring.score(docs, model, counts).collect():
+        w = texts[r["doc_id"]]
+        k = [end, *(of[x] for x in w), end]
+        p = sum(math.log10((pairs[a, b] + size * prior[b]) / (out[a] + size)) for a, b in zip(k, k[1:], strict=False))
+        p += sum(math.log10((c[x] + 0.1) / (tokens[of[x]] + 0.1 * (words[of[x]] + 1))) for x in w)
+        assert r["score"] == pytest.approx(p, abs=1e-6)
+
+
+def test_a_sweep_moves_words_one_by_one_to_their_best_class(documents):
+    """Each moving bucket's class against a loop over candidate classes; the sweep is the same however the texts are dealt."""
+    docs = documents.filter("doc_id < 40").select("text").cache()
+    spark = docs.sparkSession
+    classes = np.full(1 << lm_scoring.BUCKET_BITS, lm_scoring.NONE, np.uint8)
+    texts = [(r["text"] or "").encode().lower().split() for r in docs.collect()]
+    common = Counter(x for w in texts for x in w)
+    bucket = {x: int(h) & (1 << lm_scoring.BUCKET_BITS) - 1 for x, h in zip(common, hashed(list(common)), strict=True)}
+    for i, (x, _) in enumerate(common.most_common(100)):
+        classes[bucket[x]] = i % lm_scoring.CLASSES
+    shared = spark.sparkContext.broadcast(classes)
+    pairs = lm_scoring.class_bigrams(docs, shared)
+    end, size = lm_scoring.END, lm_scoring.SIZE
+    sides, brute = defaultdict(Counter), np.zeros((size, size))
+    for w in texts:
+        b = [bucket[x] for x in w]
+        k = [end, *(int(classes[x]) for x in b), end]
+        for i, x in enumerate(b, 1):
+            sides[x][0, k[i - 1]] += 1
+            sides[x][1, k[i + 1]] += 1
+        np.add.at(brute, (k[:-1], k[1:]), 1)
+    assert (brute == pairs).all()
+    for sweep in (0, 1, 2):
+        got = {}
+        for r in lm_scoring.neighbours(docs.repartition(3), shared, sweep).mapInArrow(lm_scoring._swept(shared, pairs), "buckets binary, classes binary").collect():
+            got |= dict(zip(np.frombuffer(r["buckets"], "<i4").tolist(), np.frombuffer(r["classes"], np.uint8).tolist(), strict=True))
+        assert set(got) == {x for x in sides if (classes[x] == lm_scoring.NONE if sweep == 0 else (x + sweep) % 2 == 0)}
+        p = pairs + 0.1
+        row, col = p.sum(1), p.sum(0)
+        for x in list(got)[:400]:
+            mine, total, scores = int(classes[x]), sum(n for (s, _), n in sides[x].items() if s), []
+            for k in range(lm_scoring.CLASSES):
+                own = k == mine
+                v = 0.0
+                for (s, c), n in sides[x].items():
+                    joint = p[c, k] if s == 0 else p[k, c]
+                    joint = max(joint - n, 0.1) if own else joint
+                    mass = (col if s == 0 else row)[k]
+                    mass = max(mass - total, 0.1) if own else mass
+                    v += n * math.log(joint / mass / (row[c] if s == 0 else 1))
+                scores.append(v)
+            assert scores[got[x]] >= max(scores) - 1e-6
 
 
 def test_exchange_finds_planted_classes():

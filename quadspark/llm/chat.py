@@ -33,9 +33,9 @@ def collapse(turns: DataFrame) -> DataFrame:
     prefixes = turns.filter("n < size").select(*key).distinct()
     last = F.max(F.struct(*key)).alias("last")
     whole = turns.groupBy("conv_id").agg(last, F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("turns")).select("conv_id", "turns", *(F.col(f"last.{c}") for c in key))
-    kept = whole.join(prefixes, key, "left_anti")
-    copies = kept.groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turns")).alias("one"), F.count("*").alias("n_copies"))
-    return copies.select("one.conv_id", F.col("n").alias("n_turns"), "n_copies", "one.turns")
+    # equal logs are one row before the anti-join, so a conversation that was logged often is in no task more than once a map task
+    copies = whole.groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turns")).alias("one"), F.count("*").alias("n_copies"))
+    return copies.join(prefixes, key, "left_anti").select("one.conv_id", F.col("n").alias("n_turns"), "n_copies", "one.turns")
 
 
 def render(turns):

@@ -1,7 +1,7 @@
 """Bloom filters that tasks build apart and merge bit by bit: of hashes seen once, and of those seen twice.
 
 twice = twice1 | twice2 | (once1 & once2), once = once1 | once2, so what two tasks hold, or one holds twice, has all its bits
-in the merged `twice` filter: no false negatives. A filter has a fixed size (`bits`), which bounds what is broadcast; a fuller
+in the merged `twice` filter: no false negatives. A filter has the size it is given (`bits`), which bounds what is broadcast; a fuller
 filter lets more through to the exact step that follows and loses nothing. Hashes are longs; null hashes are not allowed.
 """
 

@@ -11,7 +11,7 @@ of ROWS slots: two sets of similarity 0.8 share no band with probability (1 - 0.
 
 Pairs: a bucket's member of least number is its hub, and every member is compared with its hubs; confirmed links are grouped; a hub
 whose buckets still hold several groups goes on, with the rows outside the largest group against all. Rows are compared in
-blocks of about BLOCK_ROWS rows of either side, inside one task, by products of incidence matrices; only links between different
+blocks of about BLOCK_ROWS rows (fewer, if they are long) of either side, inside one task, by products of incidence matrices; only links between different
 groups leave it, so no pairs are emitted, a hot group is spread over its blocks, and no candidate pair that could join two groups
 is left out. Similarity is counted on whole shingle sets made anew from the texts (64-bit hashes). Groups are found by union-find
 in each task and large-star, small-star rounds over what is left.
@@ -36,7 +36,7 @@ from .common import in_chunks, mix64, stored, table, texts, word_hashes
 
 ROWS, BANDS = 6, 48
 PERCENT = 80
-BLOCK_ROWS, COLUMNS = 256, 8192
+BLOCK_ROWS, BLOCK_SIZE, COLUMNS = 256, 1 << 18, 8192
 _LAST = (1 << 63) - 1
 _M = np.uint64
 
@@ -247,15 +247,14 @@ def verified(blocks: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     return rows.select("h", "i", "j", "side", "node", "g", "text").mapInArrow(_checked(k, percent), "u long, v long")
 
 
-def _block(many):
-    """The block of a row among `many`, and how many there are."""
-    blocks = F.ceil(many / BLOCK_ROWS)
-    return F.pmod(F.xxhash64("node"), blocks).cast("int"), (blocks - 1).cast("int")
+def _many(rows, size):
+    """How many blocks rows with so many shingles in all make: of about BLOCK_ROWS rows and BLOCK_SIZE shingles at most."""
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_SIZE)).cast("int")
 
 
 def _blocks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every block of a with every block of b of the same h; both (h, node, g, na, nb), the sizes of a's and b's sides."""
-    (ai, a_last), (bj, b_last) = _block(F.col("na")), _block(F.col("nb"))
+    """Every block of a with every block of b of the same h; both (h, node, g, na, nb), the numbers of a's and b's blocks."""
+    (ai, a_last), (bj, b_last) = ((F.pmod(F.xxhash64("node"), F.col(n)).cast("int"), F.col(n) - 1) for n in ("na", "nb"))
     zero = F.lit(0)
     left = a.select("h", ai.alias("i"), F.explode(F.sequence(zero, b_last)).alias("j"), zero.alias("side"), "node", "g")
     right = b.select("h", F.explode(F.sequence(zero, a_last)).alias("i"), bj.alias("j"), F.lit(1).alias("side"), "node", "g")
@@ -269,7 +268,7 @@ def near_dups(docs: DataFrame, k: int, percent: int = PERCENT, rows: int = ROWS,
     full = sig.filter("n > 0")
     classes = full.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("bands").alias("bands"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "bands"), "classes")
-    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    entries = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top")
     members = stored(entries.join(shared.drop("top"), "bucket"), "members")
 
@@ -278,18 +277,21 @@ def near_dups(docs: DataFrame, k: int, percent: int = PERCENT, rows: int = ROWS,
     bodies = docs.filter(wanted.passes(F.xxhash64("id", "th"))).join(nodes, ["id", "th"]).dropDuplicates(["node"])
     bodies = stored(bodies.select("node", "text"), "bodies")
 
-    hubs = stored(members.select(F.col("hub").alias("h"), "node").distinct(), "hubs")
-    many = hubs.groupBy("h").agg(F.count("*").alias("n"))
-    alone = hubs.join(many, "h").withColumn("g", F.col("node"))
-    first = _blocks(alone.filter("node = h").withColumns({"na": F.lit(1), "nb": F.col("n")}), alone.filter("node <> h").withColumns({"na": F.lit(1), "nb": F.col("n")}))
+    # tables that a hub's rows are joined with are written first: a join of two plain sides deals a hot hub over several tasks
+    hubs = stored(members.select(F.col("hub").alias("h"), "node", "n").distinct(), "hubs")
+    many = stored(hubs.groupBy("h").agg(_many(F.count("*"), F.sum("n")).alias("nb")), "many")
+    alone = hubs.join(many, "h").select("h", "node", F.col("node").alias("g"), F.lit(1).alias("na"), "nb")
+    first = _blocks(alone.filter("node = h"), alone.filter("node <> h"))
     links = stored(verified(first, bodies, k, percent), "links")
     groups = components(links)
 
     # hubs whose buckets still hold several groups: the rows outside the largest one against all
     named = hubs.join(groups, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("root")
-    sizes = named.groupBy("h", "g").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("h").agg(F.count("*").alias("gs"), F.max(F.struct("c", "g")).alias("most"), F.sum("c").alias("nb")).filter("gs > 1")
-    left = stored(named.join(mixed.select("h", F.col("most.g").alias("major"), (F.col("nb") - F.col("most.c")).alias("na"), "nb"), "h"), "mixed")
+    named = stored(named, "named")
+    sizes = named.groupBy("h", "g").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    mixed = sizes.groupBy("h").agg(F.count("*").alias("gs"), F.max(F.struct("c", "g", "size")).alias("most"), F.sum("c").alias("c"), F.sum("size").alias("size")).filter("gs > 1")
+    mixed = mixed.select("h", F.col("most.g").alias("major"), _many(F.col("c") - F.col("most.c"), F.col("size") - F.col("most.size")).alias("na"), _many(F.col("c"), F.col("size")).alias("nb"))
+    left = stored(named.join(stored(mixed, "mixed"), "h"), "mixed-rows")
     rest = _blocks(left.filter("g <> major"), left)
     more = stored(verified(rest, bodies, k, percent), "links")
     if more.limit(1).count():
@@ -298,8 +300,10 @@ def near_dups(docs: DataFrame, k: int, percent: int = PERCENT, rows: int = ROWS,
     grouped = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     firsts = grouped.join(nodes, "node").groupBy("root").agg(F.min(F.struct("id", "th")).alias("first"))
     of_class = classes.select("node", "d1", "d2", "n", F.struct("id", "th").alias("rep")).join(grouped.join(firsts, "root").drop("root"), "node", "left")
-    of_class = of_class.select("d1", "d2", "n", F.coalesce("first", "rep").alias("first"))
-    out = sig.select("id", "th", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left").withColumn("first", F.coalesce("first", F.struct("id", "th")))
+    of_class = stored(of_class.select("d1", "d2", "n", F.coalesce("first", "rep").alias("first")), "of-class")
+    sig = sig.select("id", "th", "n", "d1", "d2")
+    own = F.struct("id", "th").alias("first")
+    out = full.select("id", "th", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"]).select("id", "th", "n", "first").unionByName(sig.filter("n = 0").select("id", "th", "n", own))
     real = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     kept = (F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))
     return out.select(real("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), real("first.id").alias("component_id"), kept.alias("kept"))

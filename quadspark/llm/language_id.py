@@ -150,8 +150,10 @@ def fit(docs: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and ambiguous; the other columns pass through."""
     names = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "score", "ambiguous")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
             values = texts(b.column("text"))
             known = np.fromiter(map(has_letter, values), bool, len(values))

@@ -141,7 +141,7 @@ def labelled(words: list[str], seed: int = SEED) -> tuple[list[str], list[str],
 def fit(docs: DataFrame) -> Models:
     """Models from the bounded sample of corpus words that stand outside base spans' alphabets (letters only)."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    some = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("text")
+    some = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("text")
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,40}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
     return train(*labelled([r["w"] for r in words.collect()]))
 

@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from comparison import same
 
 from quadspark.llm import bloom, fingerprints, language_id, line_dedup, lm_scoring, queries, secrets
@@ -62,22 +61,28 @@ def test_twice_filter_has_no_false_negatives(spark):
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
-def chained(values):
-    """xxhash64 of several values: each value's hash seeds the next one's."""
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64(v, seed=seed).intdigest()
-    return seed
+def rotl(x, n):
+    n %= 64
+    return ((x << n) | (x >> (64 - n))) & (1 << 64) - 1 if n else x
+
+
+def mixed(x):
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & (1 << 64) - 1
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & (1 << 64) - 1
+    return x ^ x >> 33
 
 
 def winnowed(text, k=fingerprints.K, w=fingerprints.W):
-    """Grams one by one, from quarter-grams of k / 4 code points, and every window's least hash, the rightmost of equal ones."""
-    t = re.sub(r"[\x20\x09-\x0D]", "", text.lower())
-    q = k // 4
-    quarters = [chained(c.encode() for c in t[i : i + q]) for i in range(len(t))]
-    grams = [chained(x.to_bytes(8, "little") for x in quarters[i : i + k : q]) for i in range(max(1, len(t) - k + 1) if t else 0)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    cut = [signed(g) >> fingerprints.POS_BITS for g in grams]
+    """Grams one by one, and every window's least hash, the rightmost of equal ones."""
+    h = [mixed(ord(c) + 0x9E3779B97F4A7C15 & (1 << 64) - 1) for c in re.sub(r"[\x20\x09-\x0D]", "", text.lower())]
+    k = min(k, len(h))
+    grams = []
+    for i in range(len(h) - k + 1 if h else 0):
+        g = 0
+        for j in range(k):
+            g ^= rotl(h[i + j], k - 1 - j)
+        grams.append(g)
+    cut = [mixed(g) >> fingerprints.POS_BITS for g in grams]
     kept = []
     for i in range(max(1, len(cut) - w + 1) if cut else 0):
         x, p = min((x, -p) for p, x in enumerate(cut[i : i + w], i))
@@ -128,25 +133,21 @@ def test_fingerprints_query(spark, sf_dir, plain):
     check_fingerprints(rows, plain)
 
 
-def kept(spark, texts):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fingerprints.fingerprint(F.col("t")).alias("f"))
+def kept(texts):
     pos = (1 << fingerprints.POS_BITS) - 1
-    return [[(x >> fingerprints.POS_BITS, pos - (x & pos)) for x in r["f"]] for r in df.orderBy("i").collect()]
+    return [[(x >> fingerprints.POS_BITS, pos - (x & pos)) for x in fingerprints.fingerprint(t).tolist()] for t in texts]
 
 
-def test_texts_longer_than_a_piece(spark, monkeypatch):
+def test_texts_longer_than_a_piece(monkeypatch):
     """Pieces leave no trace: any length around their ends, runs of one character (all hashes equal), no white space, other scripts."""
     monkeypatch.setattr(fingerprints, "PIECE", 64)
-    monkeypatch.setattr(fingerprints, "RUN", 256)
     r = np.random.default_rng(5)
     cjk = "".join(chr(0x4E00 + x) for x in r.integers(0, 3000, 2000))
     texts = ["", " \t\n", "a", "\U0001f600" * 40, "x" * 700, cjk, "Ab \n" * 300, *("".join(r.choice(list("abcé 漢"), n)) for n in [15, 16, 17, 46, 47, 48, *range(100, 125), *range(300, 320), 2048])]
-    assert kept(spark, texts) == [winnowed(t) for t in texts]
+    assert kept(texts) == [winnowed(t) for t in texts]
 
 
-def test_shared_runs_share_a_gram(spark):
+def test_shared_runs_share_a_gram():
     """K + W - 1 code points in a row, at any offset: in words, in text without white space, in one long token."""
     r = np.random.default_rng(2)
     t = fingerprints.K + fingerprints.W - 1
@@ -158,7 +159,7 @@ def test_shared_runs_share_a_gram(spark):
             pairs += [some(20 + i) + run + some(9), some(3) + run + some(30 + 2 * i)]
     long = "".join(map(chr, r.integers(0x4E00, 0x9000, 2000)))
     pairs += [long, "x" + long]
-    found = kept(spark, pairs)
+    found = kept(pairs)
     for a, b in zip(found[::2], found[1::2], strict=True):
         assert {x for x, _ in a} & {x for x, _ in b}
     assert alike(found[-2], found[-1]) > 0.97

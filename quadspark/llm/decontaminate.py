@@ -119,29 +119,39 @@ class Windows:
 class MultiIndex:
     """Fingerprints (n, BITS / 8 bytes) under radius + 1 blocks of bits: all within the radius of a query agree in a block."""
 
-    def __init__(self, fingerprints: np.ndarray, radius: int):
-        self.bits, self.radius = np.unpackbits(fingerprints, axis=1), radius
-        self.cuts = np.linspace(0, BITS, radius + 2).astype(int)
-        self.blocks = []
-        for v in self._values(self.bits):
-            order = np.argsort(v, kind="stable")
-            self.blocks.append((v[order], order))
+    #: Pairs whose blocks are compared at once; of more, those that agree in a block are looked up in sorted values.
+    AT_ONCE = 1 << 14
 
-    def _values(self, bits: np.ndarray) -> Iterator[np.ndarray]:
-        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
-            yield bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64))
+    def __init__(self, fingerprints: np.ndarray, radius: int):
+        self.radius, self.cuts = radius, np.linspace(0, BITS, radius + 2).astype(int)[:-1]
+        self.power = np.concatenate([1 << np.arange(n) for n in np.diff(np.append(self.cuts, BITS))])
+        self.bits = np.unpackbits(fingerprints, axis=1)
+        self.values, self.order = self._values(self.bits), None
+
+    def _values(self, bits: np.ndarray) -> np.ndarray:
+        """(fingerprints, blocks): each block's bits as a number."""
+        return np.add.reduceat(bits * self.power, self.cuts, axis=1)
+
+    def _sharing(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, fingerprint number) of all pairs that agree in a block."""
+        n = len(self.values)
+        if len(values) * n <= self.AT_ONCE:
+            return np.nonzero((values[:, None] == self.values[None]).any(2))
+        if self.order is None:
+            self.order = np.argsort(self.values, axis=0, kind="stable")
+        found = np.zeros(0, np.int64)
+        for v, of, order in zip(values.T, self.values.T, self.order.T, strict=True):
+            lo, hi = np.searchsorted(of[order], v, "left"), np.searchsorted(of[order], v, "right")
+            many = hi - lo
+            row = np.repeat(np.arange(len(v)), many)
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+            found = np.union1d(found, row * n + order[at])
+        return found // n, found % n
 
     def within(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query row, fingerprint number) of all pairs at most radius bits apart."""
-        bits, pairs = np.unpackbits(fingerprints, axis=1), []
-        for v, (values, order) in zip(self._values(bits), self.blocks, strict=True):
-            lo, hi = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
-            n = hi - lo
-            row = np.repeat(np.arange(len(v)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            pairs.append(np.unique(row * len(order) + order[at]))
-        found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        row, item = found // len(self.bits), found % len(self.bits)
+        bits = np.unpackbits(fingerprints, axis=1)
+        row, item = self._sharing(self._values(bits))
         ok = (bits[row] != self.bits[item]).sum(1) <= self.radius
         return row[ok], item[ok]
 

@@ -370,7 +370,9 @@ def test_decontaminate_edges(spark, edge, empty):
     assert found(empty, bench) == set() and found(edge, bench.filter("false")) == set()
 
 
-def test_multi_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("at_once", [1 << 14, 0])
+def test_multi_index_finds_all_within_the_radius(at_once, monkeypatch):
+    monkeypatch.setattr(decontaminate.MultiIndex, "AT_ONCE", at_once)
     r = np.random.default_rng(1)
     a, b = r.integers(0, 256, (40, 16), np.uint8), r.integers(0, 256, (30, 16), np.uint8)
     b[:10] = a[:10]

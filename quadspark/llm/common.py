@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 #: Rows that pass to Python at once: whole texts, so far fewer than Spark's default of 10,000.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS) ->
         for b in batches:
             values = texts(b.column("text"))
             n, d1, d2, keys = [], [], [], []
-            for a, z in in_chunks(values, 1 << 19):
+            for a, z in in_chunks(values, 1 << 18):
                 sets = shingles(values[a:z], k)
                 sig = superminhash(sets, m).reshape(len(sets), bands, rows)
                 x = np.zeros((len(sets), bands), np.uint64) + salt

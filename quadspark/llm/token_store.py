@@ -77,7 +77,7 @@ class WordEncoder(dict):
     MARKS = bytes(range(0xCC, 0x100))
     LETTERS = _byte_letters()
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -24,10 +24,8 @@ from __future__ import annotations
 import json
 import re
 import struct
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,21 +66,26 @@ class WordEncoder(dict):
     """Token ids of texts, the same as the tokenizer's, by words.
 
     With the plain normaliser and pre-tokenizer nothing is joined across ASCII white space, so texts are cut there and each
-    word's ids are kept (two generations of at most `most` words). A word of simple characters is cut into the pre-tokenizer's
-    parts, kept on their own, and the model gets each as it stands. All else goes through the whole tokenizer. A-Z are
+    word's ids are kept, as rare words take most of the time: two generations of at most `most` words of up to KEPT bytes,
+    usually about 130 MB in all. A word of simple characters is cut into the pre-tokenizer's parts, kept on their own, and
+    the model gets each as it stands. All else goes through the whole tokenizer. A-Z are
     lowered first, but not in texts with combining marks (normalisation comes before lowering there) nor in those that may
     hold special tokens. With any other tokenizer whole texts are encoded as they are.
     """
 
+    KEPT = 64
     MARKS = bytes(range(0xCC, 0x100))
     LETTERS = _byte_letters()
+    #: ASCII characters of which the pre-tokenizer makes one part after letters; not the apostrophe.
+    POINTS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        top = max(self.tokenizer.get_vocab().values(), default=0)
+        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.bytes_of = [i.to_bytes(self.dtype.itemsize, "little") for i in range(top + 1)]
         self.most, self.old, self.model = most, {}, self.tokenizer.model
         what = json.loads(self.tokenizer.to_str())
         steps = (what["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -94,26 +97,38 @@ class WordEncoder(dict):
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            s = piece.decode("utf-8", "replace")
-            if _SIMPLE.fullmatch(s) and "<|" not in s:
-                parts = _PARTS.findall(s)
-                if len(parts) > 1:
-                    ids = b"".join([self[p.encode()] for p in parts])
-                else:
-                    ids = self._packed([t.id for t in self.model.tokenize(s.lower().translate(self.LETTERS))])
+            if piece.isalpha():  # of bytes: ASCII letters only
+                ids = self._modelled(piece.lower().decode())
+            elif (word := piece.rstrip(self.POINTS)).isalpha() and b"<|" not in piece:
+                ids = self[word] + self[piece[len(word) :]]
             else:
-                ids = self._packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
+                ids = self._other(piece.decode("utf-8", "replace"))
+        if len(piece) > self.KEPT:
+            return ids
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
+    def _other(self, s: str) -> bytes:
+        if not _SIMPLE.fullmatch(s) or "<|" in s:
+            return self._packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
+        parts = _PARTS.findall(s)
+        if len(parts) > 1:
+            return b"".join([self[p.encode()] for p in parts])
+        return self._modelled(s.lower().translate(self.LETTERS))
+
+    def _modelled(self, part: str) -> bytes:
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(part)])
+
+    def forget(self) -> None:
+        """Frees the kept words: the worker process goes on to other work."""
+        self.clear()
+        self.old = {}
+
     def _packed(self, ids: list[int]) -> bytes:
-        a = array(self.code, ids)
-        if sys.byteorder != "little":
-            a.byteswap()
-        return a.tobytes()
+        return b"".join([self.bytes_of[i] for i in ids])
 
     def encode(self, text: bytes) -> bytes:
         if not self.plain:
@@ -168,6 +183,8 @@ def token_counts(tokens: DataFrame, dtype: str) -> np.ndarray:
     """How often each id stands in all of tokens; a row for each id of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code in _encoders.values():
+            code.forget()
         n = np.zeros(0, np.int64)
         for b in batches:
             for ids in b.column(0).to_pylist():

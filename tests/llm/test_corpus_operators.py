@@ -81,6 +81,33 @@ def test_words_of_all_letters():
         assert np.frombuffer(e.encode(t.encode()), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_encoder_agrees_on_words_with_points_and_long_ones():
+    e = token_store.WordEncoder(token_store.vocabulary_path(), most=5)
+    words = ["word,", "Word!!", "a<|", "a<|endoftext|>", "end<||>", "don't.", "x'", "a'!", "ABC.", "été!", "x_", "a.b.", "7,", "a1!", "...", "a\x7f!", "a\x00.", "q" * 70, "q" * 70 + "!", "é" * 40 + ".", "ΑΒ!", "İ."]
+    for w in [*words, *words]:
+        assert np.frombuffer(e.encode(w.encode()), e.dtype).tolist() == e.tokenizer.encode(w, add_special_tokens=False).ids, w
+    assert not any(len(w) > e.KEPT for w in (*e, *e.old))
+    e.forget()
+    assert not e and not e.old
+
+
+def test_word_encoder_keeps_the_words_of_a_large_text():
+    """300,000 words pass the model once; with 240,000 kept at most, a second reading passed it again with all of them."""
+    e, calls = token_store.WordEncoder(token_store.vocabulary_path()), []
+    text = " ".join(("a" + np.base_repr(i, 26).translate({48 + d: 81 + d for d in range(10)})).lower() for i in range(300_000)).encode()
+    first, model = e.encode(text), e.model
+
+    class Counted:
+        def tokenize(self, part):
+            calls.append(part)
+            return model.tokenize(part)
+
+    e.model = Counted()
+    assert e.encode(text) == first
+    assert not calls
+
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=3000), st.integers(1, 20))
 def test_rans_roundtrip(ids, lanes):

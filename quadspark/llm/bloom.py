@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
 
+from .common import released
+
 BITS = 1 << 26
 SHARDS, PROBES = 64, 3
 
@@ -92,9 +94,9 @@ class Filter:
 
     def __init__(self, hashes: DataFrame, kind: str, bits: int = BITS):
         """hashes: a DataFrame of one long column; bits / 8 bytes at most come to the driver."""
-        parts = hashes.mapInArrow(_of_task(bits), "shard int, once binary, twice binary").repartition(SHARDS, "shard")
+        parts = hashes.mapInArrow(released(_of_task(bits)), "shard int, once binary, twice binary").repartition(SHARDS, "shard")
         self.words, self.bits, n = np.zeros(bits // 64, np.uint64), bits, bits // 64 // SHARDS
-        for r in parts.mapInArrow(_merged(bits), "shard int, once binary, twice binary").select("shard", kind).toLocalIterator():
+        for r in parts.mapInArrow(released(_merged(bits)), "shard int, once binary, twice binary").select("shard", kind).toLocalIterator():
             self.words[r["shard"] * n : r["shard"] * n + n] = _unpacked(bytes(r[kind]), n)
         held = hashes.sparkSession.sparkContext.broadcast(self.words)
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, mix64, small_batches, stored, table, texts, word_hashes
+from .common import in_chunks, mix64, released, small_batches, stored, table, texts, word_hashes
 
 K, THRESHOLD, RADIUS, BITS = 5, 0.8, 40, 128
 ITEM_BYTES, PIECE_WORDS = 8 << 20, 1 << 14
@@ -305,7 +305,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
                 s = np.unique(rolled(word_hashes([t])[0], K)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), block, np.int32)), pa.array(s)], ["block", "shingle"])
 
-    return items.select("block", "text").mapInArrow(run, "block int, shingle long")
+    return items.select("block", "text").mapInArrow(released(run), "block int, shingle long")
 
 
 def blocks_of(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -358,7 +358,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = _rows(_found(held.value, texts(b.column("text"))))
                 yield pa.RecordBatch.from_arrays([*b.columns, rows], [*names, "_more"])
 
-        out = docs.mapInArrow(run, f"{_schema(docs)}, `_more` {_KIND}")
+        out = docs.mapInArrow(released(run), f"{_schema(docs)}, `_more` {_KIND}")
         return out.withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
 
     for i in range(many):
@@ -380,7 +380,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not f for f in _found(held.value, texts(b.column("text")))], pa.bool_()))
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(released(run), schema)
 
     for i in range(many):
         docs = one_pass(docs, i) if many == 1 else stored(one_pass(docs, i), "clean")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_chunks, small_batches, table, texts
+from .common import in_chunks, released, small_batches, table, texts
 
 ORDERS, BUCKETS, STRENGTH = (1, 2, 3, 4), 1 << 12, 40.0
 FEATURES = len(ORDERS) * BUCKETS
@@ -88,7 +88,7 @@ def count_by_language(docs: DataFrame) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows = docs.filter("lang is not null and text is not null").select("lang", "text")
-    counts = rows.mapInArrow(run, "lang string, n array<bigint>").select("lang", F.posexplode("n").alias("feature", "n"))
+    counts = rows.mapInArrow(released(run), "lang string, n array<bigint>").select("lang", F.posexplode("n").alias("feature", "n"))
     return counts.filter("n > 0").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(released(run), f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out() -> Column:

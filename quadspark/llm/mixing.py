@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import stored, table, texts, word_hashes
+from .common import released, stored, table, texts, word_hashes
 
 WEIGHTS, MOST, BLOCK, SEED = (5, 2, 1), 3, 64, 20240
 SHARDS, SHARD_SLOTS, GROUP_ROWS, TASK_SLOTS = 256, 1 << 22, 100_000, 1 << 18
@@ -248,7 +248,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     cut = cut.withColumn(n_chars, F.col(n_chars).cast("long")) if n_chars else cut
     cut = cut.select(*inner, "size", "runs")
-    return cut.mapInArrow(run, cut.select(*inner).schema).toDF(*names)
+    return cut.mapInArrow(released(run), cut.select(*inner).schema).toDF(*names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

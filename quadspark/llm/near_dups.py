@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Filter
-from .common import in_chunks, mix64, stored, table, texts, word_hashes
+from .common import in_chunks, mix64, released, stored, table, texts, word_hashes
 
 ROWS, BANDS = 6, 48
 PERCENT = 80
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS) ->
                 keys += [row if len(s) else [] for row, s in zip(x.view(np.int64).tolist(), sets, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "th", "n", "d1", "d2", "bands"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, d1 long, d2 long, bands array<bigint>")
+    return docs.select("id", "th", "text").mapInArrow(released(run), "id long, th long, n long, d1 long, d2 long, bands array<bigint>")
 
 
 # --- groups ----------------------------------------------------------------------------------------------------------
@@ -157,7 +157,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (u, v) reach, for each node that isn't that itself."""
-    edges = stored(links.select("u", "v").filter("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "forest")
+    edges = stored(links.select("u", "v").filter("u <> v").mapInArrow(released(_forest), "u long, v long").distinct(), "forest")
     while True:
         # large-star: a node's larger neighbours go to the least of its neighbours and itself
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -244,7 +244,7 @@ def _checked(k: int, percent: int):
 def verified(blocks: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
     """The links (u, v) of blocks (h, i, j, side, node, g); bodies: (node, text)."""
     rows = blocks.join(bodies, "node").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side")
-    return rows.select("h", "i", "j", "side", "node", "g", "text").mapInArrow(_checked(k, percent), "u long, v long")
+    return rows.select("h", "i", "j", "side", "node", "g", "text").mapInArrow(released(_checked(k, percent)), "u long, v long")
 
 
 def _many(rows, size):

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table, texts
+from .common import released, shared_dir, stored, table, texts
 
 END_ID, BLOCK_TOKENS, LANES, CHECKPOINT_STEPS = 1, 1 << 18, 1024, 128
 HEAD, MAGIC, VERSION = struct.Struct("<4sHHIIQIIIII"), b"QRNS", 1
@@ -148,6 +148,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def drop_encoders() -> None:
+    """The worker process goes on to other work. A function of the module, as a task's own function gets a pickled copy of a global."""
+    _encoders.clear()
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(part, seq, offset, doc_ids, lens, ids): runs of whole documents in ascending doc_id order; ids as little-endian bytes."""
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("offset", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("ids", pa.binary())])
@@ -176,15 +181,14 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: in
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = docs.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return order.mapInArrow(run, "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, ids binary")
+    return order.mapInArrow(released(run), "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, ids binary")
 
 
 def token_counts(tokens: DataFrame, dtype: str) -> np.ndarray:
     """How often each id stands in all of tokens; a row for each id of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code in _encoders.values():
-            code.forget()
+        drop_encoders()
         n = np.zeros(0, np.int64)
         for b in batches:
             for ids in b.column(0).to_pylist():
@@ -194,7 +198,7 @@ def token_counts(tokens: DataFrame, dtype: str) -> np.ndarray:
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
 
-    found = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = tokens.select("ids").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -325,7 +329,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:5]), pa.array([len(x) for x in ids], pa.int64()), pa.array([coder.encode(x) for x in ids], pa.binary())], names)
 
     spark.createDataFrame([(bits, bytearray(packed))], "bits int, freqs binary").coalesce(1).write.parquet(f"{path}/table")
-    tokens.mapInArrow(run, "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    tokens.mapInArrow(released(run), "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -346,7 +350,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids, ends = coder.decode(block).astype("<u4"), np.cumsum(lens)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(lens), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(offset + ends - lens), pa.array(lens, pa.int64()), pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)], pa.binary())], ["part", "doc_id", "at", "n_tokens", "ids"])
 
-    docs = blocks.select("part", "offset", "doc_ids", "lens", "block").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids binary")
+    docs = blocks.select("part", "offset", "doc_ids", "lens", "block").mapInArrow(released(run), "part int, doc_id long, at long, n_tokens long, ids binary")
     return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 

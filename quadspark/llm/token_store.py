@@ -154,51 +154,56 @@ def drop_encoders() -> None:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(part, seq, offset, doc_ids, lens, ids): runs of whole documents in ascending doc_id order; ids as little-endian bytes."""
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("offset", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("ids", pa.binary())])
+    """(part, seq, offset, doc_ids, lens, ids, counts): runs of whole documents in ascending doc_id order; ids as little-endian bytes.
+
+    The last row of a part also has how often each id stands in all of the part, as little-endian i64; counts is null in the others.
+    """
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("offset", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(path), TaskContext.get().partitionId()
         end, wide = np.array([end_id], code.dtype).tobytes(), code.dtype.itemsize
         seq = offset = held = 0
         doc_ids, lens, parts = [], [], []
+        counts = np.zeros(max(len(code.bytes_of), end_id + 1), "<i8")
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, seq, offset, doc_ids, lens, b"".join(parts)), schema, strict=True)], schema=schema)
+        def row(last: bool = False) -> pa.RecordBatch:
+            ids = b"".join(parts)
+            counts[:] += np.bincount(np.frombuffer(ids, code.dtype), minlength=len(counts))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, seq, offset, doc_ids, lens, ids, counts.tobytes() if last else None), schema, strict=True)], schema=schema)
 
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                if held >= block_tokens:
+                    yield row()
+                    seq, offset, held, doc_ids, lens, parts = seq + 1, offset + held, 0, [], [], []
                 ids = code.encode(t) + end
                 doc_ids.append(d)
                 lens.append(len(ids) // wide)
                 parts.append(ids)
                 held += lens[-1]
-                if held >= block_tokens:
-                    yield row()
-                    seq, offset, held, doc_ids, lens, parts = seq + 1, offset + held, 0, [], [], []
         if doc_ids:
-            yield row()
+            yield row(last=True)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = docs.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return order.mapInArrow(released(run), "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, ids binary")
+    return order.mapInArrow(released(run), "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, ids binary, counts binary")
 
 
-def token_counts(tokens: DataFrame, dtype: str) -> np.ndarray:
-    """How often each id stands in all of tokens; a row for each id of the vocabulary comes to the driver."""
+def token_counts(tokens: DataFrame, dtype: str = "<i8") -> np.ndarray:
+    """How often each id stands in all of tokens, from the parts' counts; a row for each id of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_encoders()
         n = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                x = np.bincount(np.frombuffer(ids, dtype), minlength=len(n))
-                x[: len(n)] += n
-                n = x
+            for counts in b.column(0).drop_null().to_pylist():
+                x = np.frombuffer(counts, dtype).astype(np.int64)
+                n = n + x if len(n) else x
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
 
-    found = tokens.select("ids").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = tokens.select("counts").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -235,12 +240,13 @@ class Coder:
         self.freqs = freqs.astype(np.uint64)
         self.begins = np.cumsum(self.freqs) - self.freqs
         self.crc = zlib.crc32(struct.pack("<H", bits) + freqs.astype("<u4").tobytes())
-        self._symbols = None
+        self._symbols = self._slot_freqs = self._slot_adds = None
 
     def encode(self, ids: np.ndarray) -> bytes:
-        n, bits = len(ids), np.uint64(self.bits)
+        n = len(ids)
         lanes = max(1, min(self.lanes, -(-n // 64)))
         f, c = self.freqs[ids], self.begins[ids]
+        gaps = np.uint64(1 << self.bits) - f
         if (f == 0).any():
             raise ValueError("an id that the table doesn't have")
         most = f << np.uint64(63 - self.bits)
@@ -248,12 +254,15 @@ class Coder:
         steps = -(-n // lanes)
         for t in range(steps - 1, -1, -1):
             a, b = t * lanes, min(n, t * lanes + lanes)
-            x, g = state[: b - a], f[a:b]
-            over = x >= most[a:b]
-            words.append((x[over] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-            x = np.where(over, x >> _32, x)
-            q = x // g
-            state[: b - a] = (q << bits) + (x - q * g) + c[a:b]
+            x = state[: b - a]
+            over = np.flatnonzero(x >= most[a:b])
+            full = x[over]
+            words.append(full.astype("<u4"))  # the low half
+            x[over] = full >> _32
+            q = x // f[a:b]  # the new state: (q << bits) + x - q * f + c
+            q *= gaps[a:b]
+            x += q
+            x += c[a:b]
             if t and t % self.every == 0:
                 marks.append((t, state.copy()))
         counts = np.cumsum([0, *(len(w) for w in reversed(words))])
@@ -273,6 +282,8 @@ class Coder:
             raise ValueError("the block is damaged")
         if self._symbols is None:
             self._symbols = np.repeat(np.arange(len(self.freqs), dtype=np.uint32), self.freqs.astype(np.int64))
+            self._slot_freqs = self.freqs[self._symbols]
+            self._slot_adds = np.arange(1 << bits, dtype=np.uint64) - self.begins[self._symbols]
         size = 4 + 8 * lanes
         words = np.frombuffer(body, "<u4", n_words, 8 * lanes + points * size)
         at, begin, end = 0, first * every, -(-n // lanes) if last is None else min(last * every, -(-n // lanes))
@@ -284,14 +295,15 @@ class Coder:
         for t in range(begin, end):
             a, b = t * lanes, min(n, t * lanes + lanes)
             x = state[: b - a]
-            slot = x & mask
-            s = self._symbols[slot.astype(np.int64)]
-            out[a - begin * lanes : b - begin * lanes] = s
-            x = self.freqs[s] * (x >> bits) + slot - self.begins[s]
+            slot = (x & mask).view(np.int64)
+            out[a - begin * lanes : b - begin * lanes] = slot
+            x >>= bits
+            x *= self._slot_freqs[slot]
+            x += self._slot_adds[slot]
             low = np.flatnonzero(x < _LOW)
             x[low] = (x[low] << _32) | words[at : at + len(low)]
             at += len(low)
-            state[: b - a] = x
+        out = self._symbols[out]
         if first == 0 and last is None and zlib.crc32(out.astype("<u4").tobytes()) != ids_crc:
             raise ValueError("the decoded ids don't match their checksum")
         return out
@@ -317,7 +329,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     code = encoder(vocabulary)
     tokens = stored(tokenised(docs, vocabulary, end_id, block_tokens), "tokens", "snappy")
     dtype = code.dtype.str
-    bits, freqs = quantised(token_counts(tokens, dtype))
+    bits, freqs = quantised(token_counts(tokens))
     packed = freqs.astype("<u4").tobytes()
     shared = spark.sparkContext.broadcast(packed)
     names = ["part", "seq", "offset", "doc_ids", "lens", "n_tokens", "block"]
@@ -329,7 +341,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:5]), pa.array([len(x) for x in ids], pa.int64()), pa.array([coder.encode(x) for x in ids], pa.binary())], names)
 
     spark.createDataFrame([(bits, bytearray(packed))], "bits int, freqs binary").coalesce(1).write.parquet(f"{path}/table")
-    tokens.mapInArrow(released(run), "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    tokens.drop("counts").mapInArrow(released(run), "part int, seq int, offset long, doc_ids array<bigint>, lens array<bigint>, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -348,7 +360,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for part, offset, doc_ids, lens, block in zip(*(b.column(n).to_pylist() for n in ("part", "offset", "doc_ids", "lens", "block")), strict=True):
                 ids, ends = coder.decode(block).astype("<u4"), np.cumsum(lens)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(lens), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(offset + ends - lens), pa.array(lens, pa.int64()), pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)], pa.binary())], ["part", "doc_id", "at", "n_tokens", "ids"])
+                at = np.concatenate([[0], ends]) * 4  # of a block's bytes
+                if at[-1] < 1 << 31:
+                    each = pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)])
+                else:
+                    each = pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(lens), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(offset + ends - lens), pa.array(lens, pa.int64()), each], ["part", "doc_id", "at", "n_tokens", "ids"])
 
     docs = blocks.select("part", "offset", "doc_ids", "lens", "block").mapInArrow(released(run), "part int, doc_id long, at long, n_tokens long, ids binary")
     return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids")

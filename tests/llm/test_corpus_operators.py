@@ -138,6 +138,25 @@ def test_quantised_sums():
         assert f.sum() == 1 << bits and all((f > 0) | (np.array(counts) == 0))
 
 
+def test_parts_carry_their_counts(edge):
+    """Counting reads a row of counts for each part, not all ids again; blocks are cut as before."""
+    rows = token_store.tokenised(edge, token_store.vocabulary_path(), block_tokens=50).collect()
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u2") for r in rows])
+    assert len(rows) > len({r["part"] for r in rows}) and max(len(r["ids"]) for r in rows) > 100
+    last = {r["part"]: r["seq"] for r in rows if r["counts"] is not None}
+    assert last == {p: max(r["seq"] for r in rows if r["part"] == p) for p in {r["part"] for r in rows}}
+    counts = token_store.token_counts(token_store.tokenised(edge, token_store.vocabulary_path(), block_tokens=50))
+    assert counts.tolist() == np.bincount(ids).tolist()
+
+
+def test_the_coder_gathers_once_an_id():
+    """A decoding step looks tables up by slot; symbols are looked up once for all steps."""
+    ids = np.arange(5000, dtype=np.uint16) % 7
+    coder = token_store.Coder(*token_store.quantised(np.bincount(ids)))
+    assert coder.decode(coder.encode(ids)).tolist() == ids.tolist()
+    assert (coder._slot_freqs == coder.freqs[coder._symbols]).all() and len(coder._slot_adds) == 1 << coder.bits
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 

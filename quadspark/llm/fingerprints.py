@@ -7,11 +7,19 @@ stripped text. So two texts that share K + W - 1 code points in a row (white spa
 script and at any offset.
 
 A gram's hash (34 bits) and reversed position (30 bits) are packed into one long, so that the least long of a window is the
-least hash with the rightmost position. Window minima take log2(W) array steps. Texts are worked off in pieces that overlap by
-K + W - 2 code points, so that no more than a piece's grams are held, however long the text is.
+least hash with the rightmost position. Texts are worked off in pieces that overlap by K + W - 2 code points, so that no more
+than a piece's grams are held, however long the text is.
 
-The arrays are numpy's, in Arrow batches: with DataFrame functions alone the same fingerprints take 1.5 times the CPU time
-that this operator may take (README has the figures).
+The query is of DataFrame functions only, and keeps the number of array steps small:
+
+- Only grams under TAU can usually be least; of these, those that are greater than both neighbours and lie in no window without
+  one of them are dropped in ROUNDS rounds. What is left is the kept grams, unless a window had no gram under TAU or the rounds
+  did not suffice: this is seen from the result, and such a piece takes the minima of all windows, in log2(W) steps.
+- An edited text is the start of one text and the start of another. Its kept grams are those of the windows inside of either,
+  which are known from the fingerprints of both, and those of the windows across the seam. Lower-casing looks at neighbours for
+  a capital sigma only: edited texts with one are worked off as a whole.
+
+`fingerprint` is the same in numpy, for one text at hand.
 
 Nulls and ties: null text is empty; a text without other than white space has the empty fingerprint; one of fewer than K code
 points is one gram. Two empty fingerprints have likeness 1, an empty and another one 0. Rows of null doc_id come last, by
@@ -20,16 +28,23 @@ descending hash of their texts; rows of equal doc_id follow each other by text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix64, table, texts
+from .common import SPACES, mix64, rotl, table
 
 K, W, POS_BITS = 16, 32, 30
+#: Windows of a piece of the DataFrame form, and of a run of pieces; the second bounds the cost of finding a piece in a long text.
+BLOCK, RUN = 1 << 12, 1 << 18
+#: Grams of a packed value under this (of 2^64) are looked at first; under 2^63, where the last step of mix64 leaves the bits that are kept.
+TAU, ROUNDS = 5 << 60, 9
+#: Code points whose hashes are looked up.
+KNOWN = 0x600
+_POS = (1 << POS_BITS) - 1
 #: Windows of a piece.
 PIECE = 1 << 16
 _GONE = dict.fromkeys(map(ord, SPACES))
@@ -68,19 +83,165 @@ def fingerprint(text: str) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with array<long> column `out`: the kept grams of column `text` (null: as empty)."""
-    names = df.columns
+# --- the same with DataFrame functions -------------------------------------------------------------------------------
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_GOLDEN, _C1, _C2, _TOP = (_signed(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1 << 63))
+#: Place of a piece's first gram while its windows are looked at; there is room for a place before it.
+_PLACE = _POS - 8
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _shifted(x: Column) -> Column:
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
+
+
+def _paired(x: Column, step: int, of: Callable[[Column, Column], Column]) -> Column:
+    """of(a[i], a[i + step]) for all i; of the last ones, which have no a[i + step], of(a[i], null)."""
+    return _let(x, lambda a: F.zip_with(a, F.slice(a, F.lit(step + 1), F.size(a)), of))
+
+
+def _grams(piece: Column) -> Column:
+    """Rolling hashes of a piece's grams, before they are mixed; one of the whole piece if it is shorter."""
+    hashed = mix64(np.arange(KNOWN, dtype=np.uint64) + np.uint64(_GOLDEN % (1 << 64)))
+    known = [F.lit(x.view(np.int64).tolist()) for x in (hashed, _rotl(hashed, 1))]
+
+    def h(c: Column, n: int) -> Column:
+        """The hash of a code point, rotated by n."""
+        other = _let(_let(_shifted(c + F.lit(_GOLDEN)) * F.lit(_C1), _shifted) * F.lit(_C2), lambda v: rotl(_shifted(v), n))
+        return F.coalesce(F.get(known[n], c), F.when(c.isNotNull(), other))
+
+    def rolled(n: int) -> Callable[[Column, Column], Column]:
+        return lambda a, b: rotl(a, n).bitwiseXOR(b)
+
+    def of(points: Column) -> Column:
+        short = F.array(F.aggregate(points, F.lit(0).cast("long"), lambda x, c: rotl(x, 1).bitwiseXOR(h(c, 0))))
+        x, step = _paired(points, 1, lambda a, b: h(a, 1).bitwiseXOR(h(b, 0))), 2
+        while step < K:
+            x, step = _paired(x, step, rolled(step)), 2 * step
+        return F.when(F.size(points) < K, short).otherwise(F.slice(x, F.lit(1), F.size(points) - (K - 1)))
+
+    return _let(F.transform(F.split(piece, ""), lambda c: F.ascii(c)), of)
+
+
+def _candidates(grams: Column) -> Column:
+    """Packed grams under TAU, between two that are less than any: the places before the first and after the last gram."""
+    x = F.transform(grams, lambda v: _shifted(v) * F.lit(_C1))
+    x = F.transform(x, lambda v, i: (_shifted(v) * F.lit(_C2)).bitwiseAND(F.lit(~_POS)) + (F.lit(_PLACE) - i))
+    x = F.filter(x, lambda v: (v < F.lit(TAU)) & (v >= F.lit(0)))
+    return F.concat(F.array(F.lit(_TOP + _PLACE + 1)), x, F.array(F.lit(_TOP + _PLACE) - F.size(grams)))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """How far b's place is behind a's."""
+    return a.bitwiseAND(F.lit(_POS)) - b.bitwiseAND(F.lit(_POS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [fingerprint(t.decode("utf-8", "replace")).view(np.int64) for t in texts(b.column(text))]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*names, out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kinds}, `{out}` array<bigint>")
+def _thinned(x: Column, w: Column) -> Column:
+    """x without those that are greater than both neighbours and in no window without one of them."""
+    return _let(x, lambda a: F.filter(a, lambda v, i: (F.get(a, i - 1) >= v) | (F.get(a, i + 1) >= v) | (_apart(F.get(a, i - 1), F.get(a, i + 1)) > w) | (v < F.lit(0))))
+
+
+def _minima(grams: Column, before: Column) -> Column:
+    """The packed minima of all windows, by pairs; in the order of unsigned values."""
+    x = F.transform(grams, lambda v: _shifted(v) * F.lit(_C1))
+    x = F.transform(x, lambda v: _shifted(v) * F.lit(_C2))
+    x = F.transform(x, lambda v, i: _shifted(v).bitwiseAND(F.lit(~_POS)).bitwiseXOR(F.lit(_TOP + _POS) - before - i))
+
+    def least(x: Column, step: int = 1) -> Column:
+        return x if step == W else least(_paired(x, step, lambda a, b: F.least(a, b)), 2 * step)
+
+    kept = _let(x, lambda a: F.when(F.size(a) <= W, F.array(F.array_min(a))).otherwise(F.slice(least(a), F.lit(1), F.size(a) - (W - 1))))
+    return F.transform(F.array_distinct(kept), lambda v: v.bitwiseXOR(F.lit(_TOP)))
+
+
+def _kept_grams(piece: Column, before: Column) -> Column:
+    """The packed minima of a piece's windows; `before`: code points before the piece."""
+
+    def of(grams: Column) -> Column:
+        w = F.least(F.size(grams), F.lit(W))
+        x = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _candidates(grams), lambda a, _: _thinned(a, w))
+        gap = lambda a: F.exists(F.transform(a, lambda v, i: _apart(v, F.get(a, i + 1)) > w), lambda far: far)
+        done = lambda a: (F.size(_thinned(a, w)) == F.size(a)) & ~F.coalesce(gap(a), F.lit(False))
+        placed = lambda a: F.transform(F.slice(a, F.lit(2), F.size(a) - 2), lambda v: v + (F.lit(_POS - _PLACE) - before))
+        return _let(x, lambda a: F.when(done(a), placed(a)).otherwise(_minima(grams, before)))
+
+    return _let(_grams(piece), of)
+
+
+def _in_pieces(text: Column, size: int, of: Callable[[Column, Column], Column]) -> Column:
+    """The results of all pieces of `size` windows, one after the other; of: (piece, code points before it)."""
+    many = F.greatest(F.ceil((F.length(text) - (K + W - 2)) / size).cast("int"), F.lit(1))
+    cut = lambda p: _let(F.substring(text, p * size + 1, F.lit(size + K + W - 2)), lambda piece: of(piece, (p * size).cast("long")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), many - 1), cut))
+
+
+def _plain(text: Column) -> Column:
+    """The text lower-cased and stripped of white space."""
+    out = F.lower(text)
+    for c in SPACES:
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _whole(plain: Column) -> Column:
+    """The kept grams of a stripped text."""
+    runs = lambda t: _in_pieces(t, RUN, lambda run, a: _in_pieces(run, BLOCK, lambda piece, b: _kept_grams(piece, a + b)))
+    return _let(plain, lambda t: F.when(F.length(t) > 0, F.array_distinct(runs(t))).otherwise(_none()))
+
+
+def _inside(fp: Column, n: Column) -> Column:
+    """The kept grams, of a text's fp, of the windows in its first n code points."""
+    place = lambda x: x.bitwiseAND(F.lit(_POS))
+    high = F.lit(_POS) - (n - (K + W - 1))  # place of the last such window's first gram
+    last = F.filter(fp, lambda x: (place(x) <= high) & (place(x) > high - W))
+    least = F.array_min(F.transform(last, lambda x: x.bitwiseXOR(F.lit(_TOP))))
+    return F.when(n < K + W - 1, _none()).otherwise(_let(least, lambda m: F.filter(fp, lambda x: place(x) >= place(m))))
+
+
+@contextmanager
+def _wrapping(spark: SparkSession) -> Iterator[None]:
+    """Products of what is built inside wrap around, as they do in numpy, instead of failing."""
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with array<long> column `out`: the kept grams of column `text` (null: as empty)."""
+    with _wrapping(df.sparkSession):
+        return df.withColumn(out, _whole(_plain(F.coalesce(F.col(text), F.lit("")))))
+
+
+def with_edited(df: DataFrame, head: str, tail: str, fp: str, next_fp: str, out: str) -> DataFrame:
+    """df with array<long> column `out`: the kept grams of head and tail, the starts of the texts of fp and next_fp, joined."""
+    side = K + W - 2
+    with _wrapping(df.sparkSession):
+        df = df.withColumns({"_head": _plain(F.col(head)), "_tail": _plain(F.col(tail))})
+        df = df.withColumns({"_m": F.length("_head").cast("long"), "_n": F.length("_tail").cast("long"), "_across": F.concat(F.right("_head", F.lit(side)), F.left("_tail", F.lit(side)))})
+        m, n = F.col("_m"), F.col("_n")
+        short = m + n <= side
+        seam = F.when((m + n > 0) & (short | ((m > 0) & (n > 0))), _kept_grams(F.col("_across"), F.greatest(m - side, F.lit(0)))).otherwise(_none())
+        moved = F.transform(_inside(F.col(next_fp), n), lambda x: x - m)
+        joined = F.array_distinct(F.concat(_inside(F.col(fp), m), seam, moved))
+        sigma = F.contains(F.concat(head, tail), F.lit("\u03a3"))
+        df = df.withColumn(out, F.when(sigma, _whole(_plain(F.concat(head, tail)))).otherwise(joined))
+    return df.drop("_head", "_tail", "_m", "_n", "_across")
 
 
 def as_text(fp: Column) -> Column:
@@ -139,8 +300,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = with_next(with_fingerprint(docs, "text", "fp"), ["text", "fp"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-    docs = with_fingerprint(docs.drop("text", "next_text"), "edited", "edited_fp")
+    docs = docs.withColumns({"head": F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), "tail": F.substring("next_text", F.lit(1), half)})
+    docs = with_edited(docs.drop("text", "next_text"), "head", "tail", "fp", "next_fp", "edited_fp")
+    docs = docs.withColumn("edited", F.concat("head", "tail")).drop("head", "tail")
     return docs.withColumns({"_a": hashes(F.col("fp")), "_b": hashes(F.col("edited_fp")), "_c": hashes(F.col("next_fp"))})
 
 

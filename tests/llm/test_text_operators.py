@@ -147,6 +147,20 @@ def test_texts_longer_than_a_piece(monkeypatch):
     assert kept(texts) == [winnowed(t) for t in texts]
 
 
+def test_fingerprints_are_native(spark, documents):
+    """No Python on the executors, and the numpy form's kept grams: pieces, short texts, equal hashes, joined starts of texts, sigmas."""
+    plan = fingerprints.fingerprints(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+    r = np.random.default_rng(5)
+    texts = ["", " \t\n", "a", "\U0001f600" * 40, "x" * 700, "ΑΣ ΣΑΣ" * 20, *("".join(r.choice(list("abcé 漢"), n)) for n in (15, 16, 46, 47, 48, 120, 9000))]
+    rows = [(t, u, t[: int(len(t) * x)], u[: int(len(u) * x)]) for t, u, x in zip(texts, texts[3:] + texts[:3], r.random(len(texts)).tolist(), strict=True)]
+    df = spark.createDataFrame(rows, "t string, u string, h string, l string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "t", "fp"), "u", "next_fp")
+    for x in fingerprints.with_edited(df, "h", "l", "fp", "next_fp", "e").collect():
+        assert x["fp"] == fingerprints.fingerprint(x["t"]).view(np.int64).tolist()
+        assert x["e"] == fingerprints.fingerprint(x["h"] + x["l"]).view(np.int64).tolist()
+
+
 def test_shared_runs_share_a_gram():
     """K + W - 1 code points in a row, at any offset: in words, in text without white space, in one long token."""
     r = np.random.default_rng(2)

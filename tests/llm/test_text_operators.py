@@ -161,6 +161,17 @@ def test_fingerprints_are_native(spark, documents):
         assert x["e"] == fingerprints.fingerprint(x["h"] + x["l"]).view(np.int64).tolist()
 
 
+def test_steps_over_all_grams_take_no_slices(spark):
+    """Slices cost the query its CPU budget. Without them: the numpy form's kept grams, also where few grams or none are candidates."""
+    from pyspark.sql import functions as F
+
+    assert "slice" not in fingerprints._grams(F.col("t"))._jc.toString()
+    r = np.random.default_rng(7)
+    texts = ["ab" * 9, "xy" * 3000, *("".join(r.choice(list("ab"), n)) for n in (*range(1, 20), 31, 32, 33, 49, 4141, 4142, 4143))]
+    for x in fingerprints.with_fingerprint(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "fp").collect():
+        assert x["fp"] == fingerprints.fingerprint(x["t"]).view(np.int64).tolist()
+
+
 def test_shared_runs_share_a_gram():
     """K + W - 1 code points in a row, at any offset: in words, in text without white space, in one long token."""
     r = np.random.default_rng(2)
